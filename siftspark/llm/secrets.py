@@ -1,4 +1,238 @@
-"""To come."""
+"""Problem 7: credentials embedded in source code.
 
-QUERIES: dict = {}
+Each batch of lines is joined to one text and run once through an Aho-Corasick
+automaton of keywords (issuer prefixes, secret-like names, key marks). Only lines with
+a hit are parsed: string literals are read (adjacent or concatenated ones as one),
+issuer-format expressions are applied and their structure is validated, and values of
+secret-like names are judged by shape. Found secrets are replaced by placeholders of
+the same length and alphabet, so the line keeps its syntax.
+
+A line is judged where it is read; only found lines are shuffled, to drop lines that
+were delivered twice.
+"""
+
+from __future__ import annotations
+
+import base64
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftspark.sources.tables import table
+
+# Parts of names that announce a secret (lower case, without separators).
+NAMES = ("password", "passwd", "passphrase", "pwd", "smtppass", "dbpass", "userpass", "secret", "apikey", "accesskey", "accountkey", "sharedkey", "signingkey", "encryptionkey", "privatekey", "privatetoken", "accesstoken", "authtoken", "bearer", "credential", "apitoken", "refreshtoken", "sessiontoken", "bottoken", "deploytoken", "accesskeyid")
+# Issuer formats: fixed prefixes, then the alphabet and length of the rest.
+ISSUERS = (
+    r"(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    r"gh[pousr]_[A-Za-z0-9]{36,}",
+    r"github_pat_[A-Za-z0-9_]{22,}",
+    r"glpat-[A-Za-z0-9_-]{20,}",
+    r"xox[abeoprs]-[0-9]{8,}-[A-Za-z0-9-]{10,}",
+    r"[srp]k_(?:live|test)_[A-Za-z0-9]{16,}",
+    r"npm_[A-Za-z0-9]{36}",
+    r"AIza[A-Za-z0-9_-]{35}",
+    r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
+    r"hf_[A-Za-z0-9]{30,}",
+    r"pypi-[A-Za-z0-9_-]{40,}",
+    r"dop_v1_[a-f0-9]{64}",
+    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+)
+WORDS = ("akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "npm_", "aiza", "sg.", "hf_", "pypi-", "dop_v1_", "eyj", "private key", "pgp private", "://", "pass", "pwd", "secret", "token", "api", "key", "bearer", "credential", "basic ", " -u ", "--user")
+
+_ISSUER = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(ISSUERS) + ")")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@\"'`<>]*):([^\s@/\"'`]+)@")
+_FIELD = re.compile(r"(?i)(?:password|pwd|accountkey|sharedaccesskey|secret)=([^;\"'`\s]+)(?=;|[\"'`]|\s|$)")
+_BASIC = re.compile(r"(?i)\bBasic\s+([A-Za-z0-9+/]{8,}={0,2})")
+_BEARER = re.compile(r"(?i)\bBearer\s+([A-Za-z0-9._~+/-]{16,}=*)")
+_CURL = re.compile(r"(?:^|\s)(?:-u|--user)[ =]([^\s:\"'`]+):([^\s\"'`]+)")
+_QUERY = re.compile(r"(?i)[?&](?:[a-z_]*token|[a-z_]*key|password|secret|sig)=([^&\s\"'`#]+)")
+_STRING = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
+_GLUE = re.compile(r"\s*(?:[+.,&]|\.\.|<>)?\s*(?:\\)?\s*\Z")
+_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*")
+_BARE = re.compile(r"^[\s>|*#/;-]*(?:export\s+|set\s+|ENV\s+|run with\s+)?[`\"']?(?:--|-D)?([A-Za-z_][A-Za-z0-9_.-]*)[`\"']?\s*(?:=>|:=|=|:|\s)\s*(\S.*?)\s*[;,]?\s*$")
+_OPTION = re.compile(r"--([A-Za-z][A-Za-z0-9-]*)[= ]([^\s`\"']+)")
+_PROSE = re.compile(r"(?i)\b(?:(?:old |new |the |default |admin |root |current )*(?:password|passwd|pwd|passphrase|token|secret|api key|access key)\s+(?:was|is|=|:)|(?:temporary|temp|test|staging|prod|production|master|shared|root|admin|deploy)\s+(?:key|pass|login|creds?|credentials?)\s*[:=]|\b(?:login|user|creds?|credentials?)\s*:\s*[\w.@-]+\s*/|(?:use|with|using)\s+(?:the\s+)?(?:password|token|secret|api key|key))\s+[`\"']?([^\s`\"']+)")
+_NETRC = re.compile(r"(?i)\blogin\s+\S+\s+password\s+(\S+)")
+_ASSIGN = re.compile(r"([A-Za-z_$][A-Za-z0-9_$.\-]*)[\"']?\]?(?:\s*:\s*[A-Za-z_&][\w:<>\[\] *&?]*?)?(?:\[\])?\s*(?:=>|:=|=|:)\s*(?:&?[A-Za-z_][\w.:]*!?\()?\s*$")
+_FAKE = re.compile(
+    r"(?i)^(?:$|[x*.•#_\-?0]+$|<.*>$|\$[{(]|\$[A-Za-z_]+$|%[A-Za-z_]+%?$|%\(|\{\{|\{.*\}$|\[.*\]$|\(.*\)$|@[{(]|@[a-z.]+$|#\{|(?:vault|env|ref|secretref|kms|ssm|file|arn|op|keyring|sops|aws-sm)[:/]"
+    r"|.*(?:redacted|changeme|change_me|change-me|placeholder|your[_-]|_here\b|dummy|sample_|todo|masked|hidden|removed)|(?:none|null|nil|true|false|undefined|example|test|secret|password|passwd|token|empty|string|str|required|optional|unset|default)$)"
+)
+_WORDY = re.compile(r"^[A-Za-z]+$")
+_PATHY = re.compile(r"^(?:(?:\.{0,2}/)?[a-z_.-]*(?:/[a-z0-9_.-]+)+|[A-Za-z]:\\.*)$")
+
+
+def announces(name: str) -> bool:
+    """Does a variable or key of this name hold a secret?"""
+    n = re.sub(r"[^a-z0-9]", "", name.lower())
+    if re.search(r"public(?:key|token)|(?:hash|hashed|sha|sha256|md5|fingerprint|length|count|policy|expiry|ttl|url|uri|path|file)$", n) or n.endswith("id") and not n.endswith("accesskeyid"):
+        return False
+    return any(x in n for x in NAMES) or n.endswith("token") and n not in ("token",) and _secret_token(name) or n == "token"
+
+
+def _secret_token(name: str) -> bool:
+    return bool(re.search(r"(?i)(?:auth|access|api|bot|private|refresh|session|deploy|csrf|oauth|github|gitlab|npm|slack)[_.-]?token$", name))
+
+
+def live(value: str, named: bool = True) -> bool:
+    """Could this value be a secret in clear (and not a placeholder, mask or reference)?"""
+    v = value.strip()
+    if _FAKE.match(v) or len(v) < 6 or len(set(v)) < 4 or " " in v:
+        return False
+    if re.search(r"^[A-Za-z_][\w.]*\(|\)$", v) and "(" in v or _PATHY.match(v):
+        return False
+    digit, sign = bool(re.search(r"\d", v)), bool(re.search(r"[^A-Za-z0-9]", v))
+    upper, lower = bool(re.search(r"[A-Z]", v)), bool(re.search(r"[a-z]", v))
+    if v.isdigit():
+        return False
+    return digit or (sign and upper and lower and len(v) >= 8) or (upper and lower and len(v) >= 10 and not re.match(r"^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*$", v)) or (named and sign and len(v) >= 10 and bool(re.search(r"[^\w.-]", v)))
+
+
+def _literals(line: str) -> list[tuple[str, list[int], int]]:
+    """String literals as ``(value, positions of its characters, start)``; glued ones are one."""
+    out: list[tuple[str, list[int], int]] = []
+    last = -1
+    for m in _STRING.finditer(line):
+        k = next(i for i in (1, 2, 3) if m.group(i) is not None)
+        value, at = m.group(k), list(range(m.start(k), m.end(k)))
+        if out and last >= 0 and _GLUE.match(line[last : m.start()]) and not re.fullmatch(r"\s*,\s*", line[last : m.start()]) or (out and re.fullmatch(r"\s*,\s*", line[last : m.start()]) and "concat!(" in line[: out[-1][2]]):
+            value, at, start = out[-1][0] + value, out[-1][1] + at, out[-1][2]
+            out[-1] = (value, at, start)
+        else:
+            out.append((value, at, m.start()))
+        last = m.end()
+    return out
+
+
+def _jwt(v: str) -> bool:
+    return v.count(".") == 2 and all(len(p) >= 8 for p in v.split("."))
+
+
+def _basic(v: str) -> bool:
+    try:
+        raw = base64.b64decode(v + "=" * (-len(v) % 4), validate=True)
+    except ValueError:
+        return False
+    return b":" in raw and len(raw) >= 5 and all(32 <= c < 127 for c in raw) and live(raw.split(b":", 1)[1].decode(), True)
+
+
+def spans(line: str) -> list[list[int]]:
+    """The positions of the characters of each secret in ``line``."""
+    found: list[list[int]] = []
+
+    def take(at: list[int]) -> None:
+        if at and not any(set(at) <= set(x) for x in found):
+            found.append(at)
+
+    if (m := _PEM.search(line)) and not re.search(r"(?i)[\"'`]\s*(?:in|not in|==|!=)\s|startswith|contains\(|search\(|match\(|grep", line):
+        take(list(range(m.start(), m.end())))
+    texts = [(line, list(range(len(line))))] + [(v, at) for v, at, _ in _literals(line) if len(v) >= 6]
+    for text, at in texts:
+        for m in _ISSUER.finditer(text):
+            v = m.group()
+            body = re.sub(r"^[A-Za-z_-]{2,11}[_.-]", "", v)
+            if (not v.startswith("eyJ") or _jwt(v)) and len(set(body)) >= 6 and not re.search(r"(?i)x{6}|0{8}|example", v):
+                take(at[m.start() : m.end()])
+        for m in _URL.finditer(text):
+            if live(m.group(2)) or (not _FAKE.match(m.group(2)) and len(m.group(2)) >= 6 and not m.group(2).isdigit()):
+                take(at[m.start(2) : m.end(2)])
+        for pattern, ok in ((_FIELD, live), (_BASIC, _basic), (_QUERY, live), (_NETRC, live)):
+            for m in pattern.finditer(text):
+                if ok(m.group(1)):
+                    take(at[m.start(1) : m.end(1)])
+        for m in _BEARER.finditer(text):
+            if live(m.group(1)) and re.search(r"\d", m.group(1)):
+                take(at[m.start(1) : m.end(1)])
+        if "curl" in text or "wget" in text:
+            for m in _CURL.finditer(text):
+                if live(m.group(2)) or (not _FAKE.match(m.group(2)) and len(m.group(2)) >= 6):
+                    take(at[m.start(2) : m.end(2)])
+    for v, at, start in _literals(line):
+        m = _ASSIGN.search(line[:start])
+        if m and announces(m.group(1)) and live(v) and "://" not in v and ";" not in v:
+            take(at)
+    for m in _OPTION.finditer(line):
+        if announces(m.group(1)) and live(m.group(2)):
+            take(list(range(m.start(2), m.end(2))))
+    for m in _PROSE.finditer(line):
+        v = m.group(1).rstrip(".,;)")
+        if live(v, False) and re.search(r"\d|[^\w-]", v):
+            take(list(range(m.start(1), m.start(1) + len(v))))
+    if (m := _BARE.match(line)) and announces(m.group(1)):
+        v = m.group(2)
+        if v[:1] in "\"'`" and v[-1:] == v[:1] and len(v) > 1:
+            lo, v = m.start(2) + 1, v[1:-1]
+        else:
+            v = v.rstrip("`")
+            lo = m.start(2)
+        if not re.search(r"[\"'`\s]", v) and live(v) and "://" not in v and not re.match(r"^[\w.]+[(\[{]|^[\[{]", v):
+            take(list(range(lo, lo + len(v))))
+    return found
+
+
+def mask(line: str, found: list[list[int]]) -> str:
+    """The line with each secret character replaced by one of its own alphabet."""
+    out = list(line)
+    for at in found:
+        for i in at:
+            c = out[i]
+            out[i] = "0" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+    return "".join(out)
+
+
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in WORDS:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
+
+
+def find(lines: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """Lines that hold a secret: ``<keys>, secrets`` (their number) and ``masked`` (the line).
+
+    Null and empty contents hold nothing; a line delivered twice gives one row; null keys
+    are kept as they are; extra columns are ignored; lines of any length are read whole. An
+    empty table gives an empty result.
+    """
+    schema = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys) + ", secrets int, masked string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        auto = _automaton()
+        for f in frames:
+            texts = f[content].tolist()
+            low = [t.lower() for t in texts]
+            starts = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
+            ends = np.fromiter((e for e, _ in auto.iter("\n".join(low))), np.int64)
+            hit, out = np.unique(np.searchsorted(starts, ends, "right") - 1), []
+            for i in hit.tolist():
+                if found := spans(texts[i]):
+                    out.append((i, len(found), mask(texts[i], found)))
+            part = f.iloc[[i for i, _, _ in out]][keys].copy()
+            part["secrets"] = [n for _, n, _ in out]
+            part["masked"] = [t for _, _, t in out]
+            yield part
+
+    source = lines.select(*keys, content).filter(F.col(content).isNotNull() & (F.length(content) >= 6))
+    return source.mapInPandas(run, schema).dropDuplicates(keys)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that hold a secret in clear."""
+    return find(table(spark, folder, "source_lines"), ["file_id", "line_no"]).select("file_id", "line_no")
+
+
+def p7_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Those lines with the secrets masked."""
+    return find(table(spark, folder, "source_lines"), ["file_id", "line_no"])
+
+
+QUERIES = {"p7_found": p7_found, "p7_masked": p7_masked}
 SQL: dict[str, str] = {}
