@@ -1,4 +1,410 @@
-"""To come."""
+"""Problem 10: sentence boundaries across languages and scripts.
 
-QUERIES: dict = {}
+The boundary rules are compiled into a finite transducer. Its input symbols are the
+places of a text where anything can change: line starts by kind (blank, fence, heading,
+bullet, number, text), paragraph ends, terminators by what surrounds them, quotation
+marks by what precedes them, and blanks in Thai. Its state is the kind of block and of
+open quotation; an output marks the end of a unit. All other characters leave the state
+as it is and are skipped by the scanner.
+
+A long text is cut into chunks with a little context on both sides. Each chunk is read
+once for all states and becomes a function from entering to leaving state; the functions
+of a document are composed by a parallel prefix scan (log2 of the chunk count steps), and
+each chunk is then read with its known entering state. The result does not depend on
+where a text is cut. Short texts are one chunk and need no scan.
+"""
+
+from __future__ import annotations
+
+import bisect
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siftspark.session import checkpoint
+from siftspark.sources.tables import table
+
+CHUNK = 8_192
+LEFT, RIGHT = 96, 256
+
+# Abbreviations whose dot never ends a sentence, and those whose dot may (fixed values).
+NEVER = frozenset(
+    "mr mrs ms dr prof fig figs sec secs ch vol approx cf e.g i.e eg ie vs viz resp rev ver dept gen col sgt capt lt st mt ave "
+    "hr fr nr str abb kap bzw bzgl ca vgl d.h z.b u.a o.ä z.t i.d.r s.o s.u evtl ggf inkl exkl zzgl tel "
+    "m mm mme mlle env ex p.ex art chap "
+    "sr sra srta ud uds dra aprox ej p.ej pág págs núm cap "
+    "ок т.е напр см рис гл стр г-н г-жа "
+    "श्री डॉ सुश्री प्रो د".split()
+)
+MAYBE = frozenset("etc a.m p.m usw u.s inc ltd corp co jr usf u.k e.u d.c т.д т.п и.т.д и.т.п др пр al".split())
+DETERMINERS = frozenset("der die das den dem des am im zum zur beim vom ab seit bis vor nach ein eine einem einen jeder jede jedes ins ans".split())
+MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jan feb mär apr jun jul aug sep sept okt nov dez".split())
+
+_CLOSE = r"(?:[ \u00a0\u202f]?\u00bb|[\"'\u201c\u201d\u2019\u203a)\]\u300d\u300f\u3011\uff09\u3015\u3009\uff63*`])*"
+_SCAN = re.compile(
+    r"(?P<line>^)"
+    r"|(?P<cjk>[。！？｡．]+(?:[.!?…。！？｡]*)(?P<c1>[\"'”’›»)\]」』】）》〉｣]*))"
+    r"|(?P<term>[.!?…؟۔।॥]+(?P<c2>" + _CLOSE + r")(?=\s|\Z))"
+    r"|(?P<inner>[.!?…؟۔।॥]+(?P<c3>[\"”»›」』]))"
+    r"|(?P<open>[“„«‹「『｢])|(?P<shut>[”»›」』｣])|(?P<straight>\")"
+    r"|(?P<thai>(?<=[^\s])[ \t 　]+(?=\S))",
+    re.MULTILINE,
+)
+_THAI = re.compile(r"[ก-๏]")
+_FENCE = re.compile(r"[ \t]{0,3}(?:```|~~~)")
+_HEAD = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]|$)")
+_BULLET = re.compile(r"[ \t]*[-*+•‣◦][ \t]+\S")
+_NUMBER = re.compile(r"[ \t]*\d{1,3}[.)][ \t]+\S")
+_QUOTES = frozenset("\"”“’»›」』｣")
+_IDENT = re.compile(r"[\w.$/\\-]*(?:_|\(|/|::|\\)[\w.$/\\()-]*")
+
+START, PARA, LIST, FENCE = range(4)
+NONE, AT_START, AFTER_COLON, INSIDE = range(4)
+SYMBOLS = "blank fence head bullet number text last thai eof end quote_end quote_cjk quote_no open_start open_colon open_inside shut".split()
+SYM = {s: i for i, s in enumerate(SYMBOLS)}
+
+
+def _step(block: int, quote: int, sym: str) -> tuple[int, int, int]:
+    if sym == "fence":
+        return (START, NONE, 1) if block == FENCE else (FENCE, NONE, 0)
+    if block == FENCE:
+        return FENCE, NONE, int(sym == "eof")
+    if sym == "blank":
+        return START, NONE, 0
+    if sym == "head":
+        return START, NONE, 1
+    if sym == "bullet" or sym == "number" and block != PARA:
+        return LIST, NONE, 1
+    if sym in ("text", "number"):
+        return (PARA, quote, 0) if block == PARA else (PARA, NONE, 0)
+    if block != PARA or sym == "eof":
+        return block, quote, 0
+    if sym == "last":
+        return PARA, NONE, 1
+    if sym == "thai":
+        return PARA, quote, 1
+    if sym == "end":
+        return PARA, quote, int(quote == NONE)
+    if sym == "quote_end":
+        return PARA, NONE, 1
+    if sym == "quote_cjk":
+        return PARA, NONE, int(quote == AFTER_COLON)
+    if sym in ("quote_no", "shut"):
+        return PARA, NONE, 0
+    kind = {"open_start": AT_START, "open_colon": AFTER_COLON, "open_inside": INSIDE}[sym]
+    return PARA, quote if quote != NONE else kind, 0
+
+
+STATES = 16
+_TABLE = [[_step(s // 4, s % 4, sym) for sym in SYMBOLS] for s in range(STATES)]
+NEXT = [[b * 4 + q for b, q, _ in row] for row in _TABLE]
+OUT = [[o for _, _, o in row] for row in _TABLE]
+IDENTITY = list(range(STATES))
+
+
+def _kind(line: str) -> str:
+    if not line.strip():
+        return "blank"
+    if _FENCE.match(line):
+        return "fence"
+    if _HEAD.match(line):
+        return "head"
+    if _BULLET.match(line):
+        return "bullet"
+    return "number" if _NUMBER.match(line) else "text"
+
+
+def _starts(rest: str, strong: bool) -> bool:
+    """Can ``rest`` begin a sentence? ``strong``: only if it cannot be a continuation either."""
+    c = rest[0]
+    if c in "([（\"“„«‹「『'‘*`" and len(rest) > 1:
+        inner = rest.lstrip("([（\"“„«‹「『'‘*`¿¡  ")
+        return not inner or not inner[0].islower() or bool(_IDENT.match(inner))
+    if c.islower():
+        return not strong
+    if c.isdigit():
+        return not strong
+    return c not in ".…,;:)]}»”’،؛،、，；：-–—%/=+<>|&"
+
+
+def _ends(text: str, at: int, mark: str, closers: str, rest: str, quoted: bool) -> bool:
+    """Does the terminator at ``at`` end a sentence that ``rest`` could follow?"""
+    if quoted and rest[0].islower():  # the sentence around the quotation goes on, unless a name begins the next
+        return bool(_IDENT.match(rest.split(None, 1)[0]))
+    if mark != ".":
+        return _starts(rest, mark == "…" or set(mark) == {"."})
+    lo = max(0, at - 40)
+    before = text[lo:at]
+    if not before or before[-1].isspace():
+        return False
+    parts = before.split()
+    word = parts[-1].lstrip("([{\"'“„«‹「『¿¡*`").lower()
+    if not closers.strip("*`"):
+        if len(word) == 1 and word.isalpha() and word.isascii() or len(word) == 1 and word.isalpha() and "Ѐ" <= word <= "ԯ":
+            if len(parts) > 1 and parts[-2].lower() in ("т.", "и"):
+                return word in "дп" and _starts(rest, True)
+            return False
+        if word in NEVER or word == "no" and rest[0].isdigit() or word == "د":
+            return False
+        if word in MAYBE:
+            return _starts(rest, True) or rest[0].islower() and bool(_IDENT.match(rest.split(None, 1)[0]))
+        if word.isdigit() and len(word) <= 3:
+            follow = re.match(r"[^\W\d_]+", rest)
+            if follow and (follow.group().lower() in MONTHS or len(parts) > 1 and parts[-2].lower().strip("(„\"") in DETERMINERS):
+                return False
+    return _starts(rest, False)
+
+
+def events(text: str, lo: int, hi: int, final: bool) -> list[tuple[int, int, int]]:
+    """``(position, symbol, unit end)`` of the symbols that begin in ``text[lo:hi]``."""
+    out: list[tuple[int, int, int]] = []
+    starts = [0]
+    kinds: dict[int, str] = {}
+    text_n = len(text)
+    k = text.find("\n")
+    while k >= 0:
+        starts.append(k + 1)
+        k = text.find("\n", k + 1)
+
+    def line_of(at: int) -> tuple[int, int]:
+        i = bisect.bisect_right(starts, at) - 1
+        return starts[i], (starts[i + 1] - 1 if i + 1 < len(starts) else text_n)
+
+    def kind_at(a: int) -> str:
+        if a not in kinds:
+            e = text.find("\n", a)
+            kinds[a] = _kind(text[a : e if e >= 0 else text_n])
+        return kinds[a]
+
+    thai_line: dict[int, bool] = {}
+    for m in _SCAN.finditer(text, lo):
+        g, at = m.lastgroup, m.start()
+        if at >= hi and not (final and at == hi):
+            break
+        if g in ("c1", "c2", "c3"):
+            g = {"c1": "cjk", "c2": "term", "c3": "inner"}[g]
+        if g == "line":
+            if at and text[at - 1] != "\n":
+                continue
+            if at >= text_n and at:
+                continue
+            a, e = line_of(at)
+            kind = kind_at(a)
+            body = text[a:e].rstrip()
+            out.append((at, SYM[kind], a + len(body)))
+            continue
+        if g == "term" or g == "cjk" or g == "inner":
+            closers = m.group("c2" if g == "term" else "c1" if g == "cjk" else "c3")
+            end = m.end()
+            mark = m.group()[: len(m.group()) - len(closers)]
+            quoted = any(c in _QUOTES for c in closers) and not (closers == "’" or closers == "'")
+            rest = text[end : end + 200].lstrip()
+            if g == "inner":
+                if closers == '"' and not (at and text[at - 1].isspace()) or closers != '"':
+                    out.append((at, SYM["quote_no"], end))
+                continue
+            if not rest:  # the end of the text; the line gives the unit
+                if quoted:
+                    out.append((at, SYM["quote_no"], end))
+                continue
+            if g == "cjk":
+                if quoted:
+                    out.append((at, SYM["quote_cjk"], end) if rest[0] not in "，、；：,;と" else (at, SYM["quote_no"], end))
+                elif rest[0] not in "，、；：,;":
+                    out.append((at, SYM["end"], end))
+                continue
+            if _ends(text, at, mark, closers, rest, quoted):
+                out.append((at, SYM["quote_end" if quoted else "end"], end))
+            elif quoted:
+                out.append((at, SYM["quote_no"], end))
+            continue
+        if g == "thai":
+            a, e = line_of(at)
+            if a not in thai_line:
+                thai_line[a] = bool(_THAI.search(text, a, e))
+            if thai_line[a]:
+                out.append((at, SYM["thai"], at))
+            continue
+        if g == "straight":
+            before = text[at - 1] if at else " "
+            g = "open" if before.isspace() or before in "([{（-—–/:：=" else "shut"
+        elif g == "open" and m.group() == "“" and at and not text[at - 1].isspace() and (at + 1 >= text_n or text[at + 1].isspace() or text[at + 1] in ".,;:!?)"):
+            g = "shut"  # the closing mark of German
+        if g == "shut":
+            out.append((at, SYM["shut"], at + 1))
+        else:
+            before = text[max(0, at - 8) : at].rstrip()
+            last = before[-1:] if before else ""
+            where = "open_colon" if last in (":", "：") else "open_start" if not last or last in ".!?…。！？؟।\"”»」』)）" else "open_inside"
+            out.append((at, SYM[where], at))
+    # paragraph ends: a text line before a line of another kind; Thai lines end sentences
+    first = bisect.bisect_right(starts, lo) - 1
+    for i in range(max(first, 0), len(starts)):
+        a = starts[i]
+        e = starts[i + 1] - 1 if i + 1 < len(starts) else text_n
+        if e < lo:
+            continue
+        if e >= hi and not (final and e == text_n):
+            break
+        if kind_at(a) in ("text", "number") or (a < lo and i == first):
+            nxt = kind_at(starts[i + 1]) if i + 1 < len(starts) else "eof"
+            if nxt in ("text", "number"):
+                if _THAI.search(text, a, e):
+                    out.append((e, SYM["thai"], a + len(text[a:e].rstrip())))
+            else:
+                out.append((e, SYM["last"], a + len(text[a:e].rstrip())))
+    if final:
+        out.append((text_n + 1, SYM["eof"], len(text.rstrip())))
+    out.sort(key=lambda x: x[0])
+    return out
+
+
+def function(evs: list[tuple[int, int, int]]) -> list[int]:
+    """The chunk as a function from entering to leaving state."""
+    f = IDENTITY
+    for _, sym, _ in evs:
+        f = [NEXT[s][sym] for s in f]
+    return f
+
+
+def run(evs: list[tuple[int, int, int]], state: int) -> list[int]:
+    """The unit ends that the transducer gives for these events."""
+    out = []
+    for _, sym, end in evs:
+        if OUT[state][sym]:
+            out.append(end)
+        state = NEXT[state][sym]
+    return out
+
+
+def normalise(text: str) -> str:
+    """Line ends as line feeds, at equal positions (a carriage return before one becomes a blank)."""
+    if "\r" in text:
+        text = text.replace("\r\n", " \n").replace("\r", "\n")
+    return text
+
+
+def cuts(text: str, size: int) -> list[int]:
+    """Where a long text is cut: after a line feed, else before a blank, else anywhere that is safe."""
+    out, at, n = [0], 0, len(text)
+    while n - at > size:
+        k = text.rfind("\n", at + size // 2, at + size) + 1
+        if not k:
+            k = max(text.rfind(" ", at + size // 2, at + size), text.rfind("\t", at + size // 2, at + size)) + 1
+        if not k or k <= at:  # no blank: cut behind a letter that is not before or behind a mark
+            m = re.compile(r"(?<=\w\w)(?=\w\w)").search(text, at + size)
+            k = m.start() if m else n
+        if k >= n:
+            break
+        out.append(k)
+        at = k
+    return out
+
+
+def ends(text: str, size: int = CHUNK) -> list[int]:
+    """All unit ends of one text, by chunk functions (what the distributed form computes)."""
+    text = normalise(text)
+    at = cuts(text, size)
+    state, out = START * 4, []
+    for k, a in enumerate(at):
+        b = at[k + 1] if k + 1 < len(at) else len(text)
+        evs = _chunk_events(text[max(0, a - LEFT) : b + RIGHT], min(a, LEFT), b - a, b == len(text))
+        out += [e + max(0, a - LEFT) for e in run(evs, state)]
+        state = function(evs)[state]
+    return sorted({e for e in out if e > 0})
+
+
+def _chunk_events(window: str, left: int, size: int, final: bool) -> list[tuple[int, int, int]]:
+    """Events of the chunk ``window[left:left + size]``, which has context on both sides."""
+    evs = events(window, left, left + size, final)
+    return [e for e in evs if e[0] >= left and (e[0] < left + size or final)]
+
+
+def _compose(f: Column, g: Column) -> Column:
+    """First ``f``, then ``g`` (arrays of states)."""
+    return F.transform(f, lambda s: F.element_at(g, s + 1))
+
+
+def units(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK) -> DataFrame:
+    """One row per unit: ``<key>, end_pos``, the number of characters up to the unit's end.
+
+    Null keys or texts, empty texts and texts of white space have no unit. Repeated rows of
+    a key give each end once. Texts are read whole, whatever their length. Extra columns are
+    ignored; an empty table gives an empty result.
+    """
+    id_type = docs.schema[key].dataType.simpleString()
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL AND t <> ''")
+    short = source.filter(F.length("t") <= size)
+    long = source.filter(F.length("t") > size)
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids, out = [], []
+            for i, t in zip(f["id"], f["t"]):
+                e = ends(t, size)
+                ids += [i] * len(e)
+                out += e
+            yield pd.DataFrame({key: ids, "end_pos": out})
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i, t in zip(f["id"], f["t"]):
+                t = normalise(t)
+                at = cuts(t, size)
+                to = [*at[1:], len(t)]
+                yield pd.DataFrame({
+                    "id": i, "part": hash(t) & 0x7FFFFFFF, "k": range(len(at)), "base": [max(0, a - LEFT) for a in at], "left_": [min(a, LEFT) for a in at],
+                    "size": [b - a for a, b in zip(at, to)], "final": [b == len(t) for b in to], "w": [t[max(0, a - LEFT) : b + RIGHT] for a, b in zip(at, to)],
+                })
+
+    chunk_schema = f"id {id_type}, part long, k int, base long, left_ int, size int, final boolean, w string"
+    done = short.mapInPandas(whole, f"{key} {id_type}, end_pos long")
+    # a key with two different texts keeps both apart by a hash of the text
+    tagged = long.withColumn("part", F.xxhash64("t"))
+
+    def split_tagged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for (i, t, p), part in zip(f[["id", "t", "part"]].itertuples(index=False), split(iter([f]))):
+                yield part.assign(part=p)
+
+    chunks = checkpoint(tagged.dropDuplicates(["id", "part"]).mapInPandas(split_tagged, chunk_schema).repartition("id", "part", "k"))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def as_function(w: pd.Series, left_: pd.Series, n: pd.Series, final: pd.Series) -> pd.Series:
+        return pd.Series([function(_chunk_events(*x)) for x in zip(w, left_, n, final)])
+
+    scan = chunks.select("id", "part", "k", as_function("w", "left_", "size", "final").alias("f"))
+    most = chunks.agg(F.max("k")).first()[0]
+    step = 1
+    while most is not None and step <= most:  # inclusive prefix scan by doubling
+        back = Window.partitionBy("id", "part").orderBy("k")
+        prev = F.lag("f", step).over(back)
+        scan = checkpoint(scan.withColumn("p", prev).select("id", "part", "k", F.when(F.col("p").isNull(), F.col("f")).otherwise(_compose(F.col("p"), F.col("f"))).alias("f")))
+        step *= 2
+    entered = scan.select("id", "part", (F.col("k") + 1).alias("k"), F.element_at("f", START * 4 + 1).alias("state"))
+    ready = chunks.join(entered, ["id", "part", "k"], "left").withColumn("state", F.coalesce("state", F.lit(START * 4)))
+
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ids, out = [], []
+            for r in f.itertuples(index=False):
+                e = [x + r.base for x in run(_chunk_events(r.w, r.left_, r.size, r.final), r.state)]
+                ids += [r.id] * len(e)
+                out += [x for x in e]
+            yield pd.DataFrame({key: ids, "end_pos": out})
+
+    cut = ready.select("id", "base", "left_", "size", "final", "w", "state").mapInPandas(emit, f"{key} {id_type}, end_pos long")
+    return done.unionByName(cut).filter("end_pos > 0").distinct()
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The end of every unit of every document."""
+    return units(table(spark, folder, "documents"))
+
+
+QUERIES = {"p10_found": p10_found}
 SQL: dict[str, str] = {}
