@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("siftspark")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -23,6 +25,8 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -43,3 +47,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package from where the driver has it.
+
+    The folder is put on the workers' path. Where executors do not share that folder,
+    install the package there or add it with ``spark.submit.pyFiles``.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, path]) if path else root
