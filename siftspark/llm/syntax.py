@@ -1,4 +1,577 @@
-"""To come."""
+"""Problem 5: source files that do not parse.
 
-QUERIES: dict = {}
+1. Every file's lines are brought together once and lexed; the rows of the result are
+   facts about adjacent tokens, brackets and statements:
+   ``pair`` (each distinct pair of neighbouring token classes), ``open`` / ``close`` (the
+   brackets, block keywords and indentations that a line leaves over) and ``stmt`` (each
+   distinct statement shape: its tokens with the contents of brackets folded).
+2. Pairs are anti-joined with the pairs that the language's grammar permits.
+3. Nesting is validated by windows: the running sum gives each bracket its level, and
+   within a level every closing bracket must follow an opening one of its kind.
+4. Statement shapes are matched against the productions of the language.
+
+A file with any violation is invalid. For Python and JSON, whose parsers are at hand, the
+files so found are confirmed by an exact parse.
+"""
+
+from __future__ import annotations
+
+import ast
+import json
+import re
+import warnings
+from collections.abc import Iterator
+from functools import cache
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftspark.llm.grammar import GRAMMARS, pairs
+from siftspark.session import checkpoint
+from siftspark.sources.tables import table
+
+EXTENSIONS = {
+    "py": "python", "pyi": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "typescript",
+    "go": "go", "rs": "rust", "java": "java", "cs": "csharp", "rb": "ruby", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "php": "php", "json": "json",
+}
+_CLASSES = set("i n s v c B S U I A NL CNL EOF BOF lab sym op text open life ann ifx".split())
+_SOFT = {
+    "javascript": "of get set static async from type as await", "typescript": "of get set static async from type as await declare abstract readonly namespace module is keyof infer unique asserts override public private protected enum interface implements",
+    "python": "match case type _", "java": "record sealed permits yield var", "csharp": "get set init add remove where when with value var dynamic required record partial async await nameof yield in event params",
+    "kotlin": "open data sealed inline companion enum operator infix inner annotation vararg tailrec external actual expect to until downTo step get set constructor init by out reified override abstract final lateinit const internal public private protected suspend",
+    "swift": "get set willSet didSet open some any mutating lazy weak unowned convenience required indirect nonmutating async await actor override final", "rust": "union async await", "ruby": "private public protected module_function", "php": "enum readonly match fn list final abstract static", "c": "override final mutable explicit friend virtual constexpr typename template using namespace operator new delete try catch throw class public private protected this true false nullptr bool auto", "cpp": "override final", "go": "",
+}
+_LINES = {"python", "javascript", "typescript", "go", "kotlin", "swift", "ruby"}
+_CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7}|={7})(?:[ \t].*)?$", re.MULTILINE)
+_BLOCK = {"rust", "swift", "kotlin"}  # nested block comments
+_NUMBER = r"(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*)"
+_OPS = ">>>= <=> === !== **= <<= >>= ... ..< ..= ??= &&= ||= ?-> -> => :: ++ -- += -= *= /= %= &= |= ^= .= == != <= >= && || << >> ?? ?. ?: !! := <- &. .. ** =~ !~ ~= // @ # + - * / % & | ^ ~ ! < > = ? : ; , . ( ) [ ] { } \\ $".split()
+_OP = "|".join(re.escape(o) for o in sorted(_OPS, key=len, reverse=True))
+_PAIRED = {")": "(", "]": "[", "}": "{"}
+
+
+@cache
+def keywords(lang: str) -> frozenset[str]:
+    words = {t for pair in pairs(lang) for t in pair if re.fullmatch(r"[A-Za-z_]+", t)} - _CLASSES
+    return frozenset(words)
+
+
+@cache
+def _op_class(lang: str) -> dict[str, str]:
+    own = {t for pair in pairs(lang) for t in pair}
+    out = {}
+    for o in _OPS:
+        if o in ("+", "-"):
+            out[o] = "S"
+        elif o in ("++", "--"):
+            out[o] = "I"
+        elif o in ("=", ":=") and not (o == ":=" and lang == "python") or o.endswith("=") and o not in ("==", "!=", "<=", ">=", "===", "!==", "..=", ":=", "~="):
+            out[o] = "A"
+        elif o == "..=":
+            out[o] = ".."
+        elif o == "//" and lang == "python":
+            out[o] = "B"
+        elif o in own:
+            out[o] = o
+        elif o == "~":
+            out[o] = "U"
+        elif o in ("==", "!=", "<=", ">=", "&&", "||", "|", "^", "%", "/", "<<", ">>", "===", "!==", "**", "<=>", "=~", "!~", "~=", "&", "<", ">", "*"):
+            out[o] = "B"
+        elif o == "!":
+            out[o] = "U"
+        else:
+            out[o] = "bad:" + o
+    return out
+
+
+@cache
+def _scanner(lang: str) -> re.Pattern:
+    dq, sq = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
+    comment = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
+    if lang == "python":
+        parts = [r"(?P<c>#[^\n]*)", r"(?P<cont>\\\n)", r"(?P<s>[rRbBfFuUtT]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|" + dq + "|" + sq + "))"]
+    elif lang == "ruby":
+        parts = [r"(?P<c>#[^\n]*|^=begin\b[\s\S]*?^=end[^\n]*)", r"(?P<cont>\\\n)", r"(?P<heredoc><<[~-]?([\"']?)(?P<tag>[A-Z_]+)\2[^\n]*\n[\s\S]*?^\s*(?P=tag)\b)", "(?P<s>" + dq.replace(r"\n", "") + "|" + sq.replace(r"\n", "") + r"|`[^`]*`|%[wWiIqQr]?(?:\([^)]*\)|\[[^\]]*\]|\{[^}]*\}))", r"(?P<sym>:(?:[A-Za-z_]\w*[?!=]?|\"[^\"\n]*\")(?<!::))", r"(?P<lab>[A-Za-z_]\w*[?!]?:(?!:))", r"(?P<v>@@?[A-Za-z_]\w*|\$[A-Za-z_0-9!@&~]\w*)", r"(?P<w>[A-Za-z_]\w*[?!]?(?![=~]=)|[A-Za-z_]\w*)"]
+    elif lang == "php":
+        parts = [r"(?P<open><\?(?:php\b|=))", r"(?P<end>\?>)", "(?P<c>" + comment + r"|#(?!\[)[^\n]*)", r"(?P<s><<<(['\"]?)(?P<tag>[A-Za-z_]+)\2\n[\s\S]*?^\s*(?P=tag)\b|" + dq.replace(r"\n", "") + "|" + sq.replace(r"\n", "") + ")", r"(?P<v>\$+[A-Za-z_]\w*)"]
+    elif lang == "json":
+        parts = [r"(?P<s>\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")", r"(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))"]
+    elif lang in ("javascript", "typescript"):
+        parts = ["(?P<c>" + comment + ")", r"(?P<s>`(?:[^`\\]|\\[\s\S])*`|" + dq + "|" + sq + ")"]
+    elif lang == "go":
+        parts = ["(?P<c>" + comment + ")", "(?P<s>`[^`]*`|" + dq + "|" + sq + ")"]
+    elif lang == "rust":
+        parts = ["(?P<c>" + comment + ")", r"(?P<s>[bc]?r(?P<h>#*)\"[\s\S]*?\"(?P=h)|[bc]?" + dq.replace(r"\n", "") + r"|b?'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F]+\}|x[0-9a-fA-F]{2}|.))')", r"(?P<life>'[A-Za-z_]\w*(?!'))"]
+    elif lang == "csharp":
+        parts = ["(?P<c>" + comment + r"|^[ \t]*#[^\n]*)", r"(?P<s>\"\"\"[\s\S]*?\"\"\"|[$]?@[$]?\"(?:[^\"]|\"\")*\"|[$]?" + dq + "|" + sq + ")"]
+    elif lang in ("kotlin", "swift"):
+        parts = ["(?P<c>" + comment + ")", r"(?P<s>\"\"\"[\s\S]*?\"\"\"|" + dq + ("|" + sq if lang == "kotlin" else "") + ")"]
+    else:
+        parts = ["(?P<c>" + comment + (r"|^[ \t]*#(?:[^\\\n]|\\[\s\S])*" if lang in ("c", "cpp") else "") + ")", r"(?P<s>(?:u8|[uUL])?(?:R\"(?P<d>[^()\\ ]*)\([\s\S]*?\)(?P=d)\"|\"\"\"[\s\S]*?\"\"\"|" + dq + "|" + sq + "))"]
+    if lang not in ("json",):
+        parts.append(r"(?P<n>" + _NUMBER + r"(?:[uUlLfFdDmMnij]{0,3}|[iu](?:8|16|32|64|128|size)|f(?:32|64)|r)(?![\w]))")
+    if lang != "ruby":
+        parts.append(r"(?P<w>[A-Za-z_$][\w$]*)" if lang in ("javascript", "typescript", "java") else r"(?P<w>`[A-Za-z_]\w*`|[^\W\d]\w*)")
+    parts.append("(?P<o>" + _OP + ")")
+    parts.append(r"(?P<nl>\n)|(?P<x>\S)")
+    return re.compile("|".join(parts), re.MULTILINE)
+
+
+def _regex_ok(prev: str) -> bool:
+    return prev in ("BOF", "NL", "CNL", "(", ",", "A", "B", "S", "[", "{", "}", ";", ":", "?", "!", "=>", "return", "U", "&", "*", "<", ">", "of", "in", "if", "unless", "when", "and", "or", "not", "while", "typeof", "case", "lab", "~")
+
+
+_RX = re.compile(r"/(?![*/\s])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+
+
+def lex(text: str, lang: str) -> list[tuple[str, int]]:
+    """``(class, line)`` of the tokens; ``bad:...`` for what the language does not have."""
+    out: list[tuple[str, int]] = []
+    scan, kws, ops, permitted = _scanner(lang), keywords(lang), _op_class(lang), pairs(lang)
+    soft = frozenset(_SOFT.get(lang, "").split())
+    by_line, py = lang in _LINES, lang == "python"
+    text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
+    if text.startswith("#!") and lang != "json":
+        text = "//" + text[2:] if lang not in ("python", "ruby", "php") else ("#" + text[2:] if lang != "php" else text[text.find("\n") + 1 :])
+    pos, line, n, depth, prev = 0, 1, len(text), [], "BOF"
+    indents, fresh = [0], True
+    if lang == "php":
+        first = re.search(r"<\?(?:php\b|=)", text)
+        if not first:
+            return [("bad:no code", 1)] if text.strip() else []
+        if text[: first.start()].strip():
+            out.append(("text", 1))
+        pos = first.start()
+    while pos < n:
+        if fresh:
+            if (m := _CONFLICT.match(text, pos)) and lang != "json":
+                out.append(("bad:conflict", line))
+                pos, fresh = m.end(), False
+                continue
+            if py and not depth:
+                m = re.compile(r"[ \t\f]*").match(text, pos)
+                rest = text[m.end() : m.end() + 1]
+                if rest and rest not in "\n#":
+                    width = len(m.group().expandtabs(8))
+                    if width > indents[-1]:
+                        indents.append(width)
+                        out.append((">>", line))
+                        prev = ">>"
+                    while width < indents[-1]:
+                        indents.pop()
+                        out.append(("<<", line))
+                        prev = "<<"
+                        if width > indents[-1]:
+                            out.append(("bad:dedent", line))
+                            indents.append(width)
+            fresh = False
+        c = text[pos]
+        if c in " \t\f\v ":
+            if c == " " and py:
+                out.append(("bad:blank", line))
+            pos += 1
+            continue
+        if c == "/" and lang in ("javascript", "typescript", "ruby") and _regex_ok(prev) and (m := _RX.match(text, pos)):
+            kind, word = "s", m.group()
+        else:
+            m = scan.match(text, pos)
+            if not m:
+                out.append(("bad:" + c, line))
+                pos += 1
+                continue
+            kind, word = m.lastgroup, m.group()
+            if kind in ("tag", "h", "d"):
+                kind = "s"
+        pos = m.end()
+        at, line = line, line + word.count("\n")
+        if kind == "c":
+            if lang in _BLOCK and word.startswith("/*"):
+                level = word.count("/*", 2)
+                while level > 0 and pos < n:
+                    stop = text.find("*/", pos)
+                    if stop < 0:
+                        out.append(("bad:comment", at))
+                        pos = n
+                        break
+                    level += text.count("/*", pos, stop) - 1
+                    line += text.count("\n", pos, stop)
+                    pos = stop + 2
+            if "\n" in word and lang not in ("python",):
+                pass
+            continue
+        if kind == "nl":
+            fresh = True
+            inside = depth and depth[-1] in "(["
+            if by_line and not inside and not (py and depth) and prev not in ("BOF", "NL", "CNL", "<<", ">>"):
+                prev = "CNL" if py and prev == ":" else "NL"
+                out.append((prev, at))
+            continue
+        if kind == "cont":
+            continue
+        if kind in ("s", "heredoc"):
+            cls = "s"
+        elif kind == "end":
+            cls = "?>"
+            nxt = re.compile(r"<\?(?:php\b|=)").search(text, pos)
+            pos = nxt.start() if nxt else n
+        elif kind in ("n", "life", "v", "sym", "lab", "open"):
+            cls = kind
+            if kind == "lab" and prev in ("?",):
+                cls, pos = "i", pos - 1
+            if kind == "lab" and word[:-1] in kws and prev not in ("(", ",", "{"):
+                pos -= 1
+                cls = word[:-1]
+        elif kind == "w":
+            cls = word if word in kws else "c" if lang == "ruby" and word[0].isupper() else "i"
+            if prev in (".", "?.", "&.", "->", "?->") and not (lang == "rust" and word == "await"):
+                cls = "i" if lang != "ruby" or prev != "." else "i"
+            elif word in soft and cls != "i":
+                after = re.compile(r"[ \t]*(\n|" + _OP + r"|[\"'`]|\w)?").match(text, pos)
+                a = after.group(1) or "\n"
+                b = ops.get(a, "NL" if a == "\n" else "s" if a in "\"'`" else "n" if a.isdigit() else "i")
+                if (prev, "i") in permitted and ("i", b) in permitted and not ((prev, word) in permitted and (word, b) in permitted and b in ("i", "s", "{", "[", "n")):
+                    cls = "i"
+                elif (prev, word) not in permitted:
+                    cls = "i"
+        elif kind == "o":
+            cls = ops[word]
+            if word in "([{":
+                depth.append(word)
+            elif word in ")]}" and depth:
+                depth.pop()
+            elif word == ":" and lang == "ruby" and prev == "?":
+                cls = ":"
+        else:
+            cls = "bad:" + ("quote" if word in "\"'`" else word if ord(word) < 128 else "char")
+        out.append((cls, at))
+        prev = cls
+    if py:
+        if prev not in ("BOF", "NL", "CNL", "<<", ">>"):
+            out.append(("CNL" if prev == ":" else "NL", line))
+        out += [("<<", line)] * (len(indents) - 1)
+    return out
+
+
+_RUBY_OPEN = {"def", "class", "module", "begin", "do", "case"}
+_RUBY_COND = {"if", "unless", "while", "until", "for"}
+# Languages whose line ends count unless the next line begins with one of these.
+_CARRIED = {"go": frozenset(), "ruby": frozenset([".", "&."]), "kotlin": frozenset([".", "?.", "?:", "else", "as", "B", "{", "catch", "finally"]), "swift": frozenset([".", "?.", "B", "??", "?", ":", "else", "catch"])}
+_BODY = {"else", "do", "try", "finally", "=>", "->", "unsafe", "static", "default", "const", "override", "noexcept"}
+_OWNERS = {"class", "struct", "interface", "record", "namespace", "union", "trait", "impl", "mod", "protocol", "extension", "object"}
+_AT_START = {"BOF", "NL", ";", "then", "do", "else", "begin", "A", "(", "{", "[", ",", "ensure", "return", "B", "&&", "||", "and", "or", "not", "=>", "elsif", "|"}
+
+
+def facts(tokens: list[tuple[str, int]], lang: str) -> tuple[set[tuple[str, str]], list[tuple[str, str]], set[str]]:
+    """Distinct pairs, left-over brackets in order, and distinct statement shapes."""
+    permitted = pairs(lang)
+    found: set[tuple[str, str]] = set()
+    marks: list[tuple[str, str]] = []  # (open or close, kind)
+    lines: list[int] = []
+    shapes: set[str] = set()
+    prev, brk = "BOF", False
+    strict, carried = lang in _CARRIED, _CARRIED.get(lang, frozenset())
+    by_line, py = lang in _LINES, lang == "python"
+    loops = 0  # Ruby loops whose "do" is still to come
+    base: list[tuple[str, list[str]]] = [("top", [])]
+
+    def mark(kind: str, sign: str, at: int) -> None:
+        if sign == "close" and marks and marks[-1] == ("open", kind) and lines[-1] == at:
+            marks.pop()
+            lines.pop()
+        else:
+            marks.append((sign, kind))
+            lines.append(at)
+
+    def finish(level: list[str]) -> None:
+        if level:
+            shapes.add(" ".join(level))
+            level.clear()
+
+    for k, (t, at) in enumerate(tokens):
+        if t == "NL" and by_line and not py:
+            brk = True
+            nxt = tokens[k + 1][0] if k + 1 < len(tokens) else "EOF"
+            level = base[-1][1]
+            over = (prev, "NL") in permitted and nxt not in carried if strict else (prev, nxt) not in permitted
+            if level and over and base[-1][0] not in ("(", "["):
+                finish(level)
+            if lang == "ruby":
+                loops = 0
+            continue
+        if brk:
+            brk = False
+            if strict and t not in carried and (prev, "NL") in permitted or (prev, t) not in permitted:
+                found.add((prev, "NL"))
+                found.add(("NL", t))
+            start = True
+        else:
+            found.add((prev, t))
+            start = prev in _AT_START
+        level = base[-1][1]
+        if t in "([{" and len(t) == 1:
+            mark(t, "open", at)
+            block = t == "{" and (prev == ")" or prev in _BODY or bool(_OWNERS & set(level)) and "A" not in level)
+            level.append(t)
+            base.append((t if not block else "block", []))
+        elif t in _PAIRED:
+            mark(_PAIRED[t], "close", at)
+            inner = []
+            if len(base) > 1:
+                kind, inner = base.pop()
+                empty = not inner
+                if kind == "block" and not by_line and inner:
+                    shapes.add(" ".join(inner) + " ~")
+                elif kind == "block":
+                    finish(inner)
+                level = base[-1][1]
+                level.append(t if empty else t)
+            nxt = tokens[k + 1][0] if k + 1 < len(tokens) else "EOF"
+            if t == "}" and base[-1][0] in ("top", "{", "block") and not py and lang not in ("json", "ruby"):
+                if not (set(level[:1]) & {"return", "import", "throw", "new"} or "A" in level or "=>" in level or "new" in level or "default" in level) and nxt not in ("else", "catch", "finally", "while", "elseif", ".", ")", ",", "(", "as", "from", "?.", "elif", "when", ";"):
+                    finish(level)
+                elif nxt == "while" and level[:1] != ["do"] and level[:1] != ["repeat"]:
+                    finish(level)
+        elif t == ";" and base[-1][0] in ("top", "{", "block"):
+            level.append(";")
+            finish(level)
+        elif py and t in ("NL", "CNL"):
+            level.append(t)
+            finish(level)
+        elif py and t in (">>", "<<"):
+            mark(">>", "open" if t == ">>" else "close", k)
+            base[:] = base[:1]
+        else:
+            level.append(t)
+            if lang == "ruby":
+                if t in _RUBY_COND and (start or prev in _AT_START):
+                    mark("end", "open", at)
+                    loops += t in ("while", "until", "for")
+                elif t == "do" and loops:
+                    loops -= 1
+                elif t in _RUBY_OPEN and prev not in (".", "::", "def") and not (t == "class" and prev == "B"):
+                    mark("end", "open", at)
+                elif t == "end" and prev not in (".", "def"):
+                    mark("end", "close", at)
+        prev = t
+    found.add((prev, "EOF") if not (by_line and not py) or (prev, "EOF") in permitted else (prev, "NL"))
+    tail = base[0][1]
+    if tail:
+        shapes.add(" ".join(tail) + ("" if by_line or lang == "json" else " ~"))
+    return found, marks, shapes
+
+
+_P = r"\( \)"
+_NEED = r"^(?:if|while|switch|catch|foreach)\b(?! \()"
+# Productions that a statement shape must not break: (languages, expression of a violation).
+VIOLATIONS = [
+    ("java csharp c cpp go javascript typescript php rust kotlin", r"(?:^| )i i i(?: |$)"),
+    ("javascript php rust ruby kotlin", r"(?:^| )i i(?: |$)" ),
+    ("typescript swift", r"(?:^|[^@] )i i(?: |$)"),
+    ("javascript typescript java csharp c cpp php", _NEED),
+    ("javascript typescript java csharp c cpp php", r"^for\b(?! (?:await )?\()"),
+    ("javascript typescript java csharp php cpp", r"^try \{ \}$|^try(?! [{(])"),
+    ("java csharp c cpp php", r"[^;}:{] ~$"),
+    ("rust", r"^(?:let|use|const|static|type|mod)\b(?!.*[;}])"),
+    ("rust", r"^(?:pub )?fn i(?!.*(?:\{ \}|;))|^impl\b(?!.*\{ \})"),
+    ("javascript typescript", r"^(?:export (?:default )?)?(?:async )?function (?!(?:\* )?(?:i )?(?:<[^(]*> )?\()|^(?:export )?class i(?!.*\{ \})|^(?:export )?const (?:i|: )+;$|^import (?!.*s)(?!\()"),
+    ("javascript", r"^(?:export )?(?:async )?function i \( \)(?! \{)"),
+    ("go", r"^func\b(?!.*\{ \})|^(?:if|for|switch|select)\b(?!.*\{ \})|^import(?! [i.]? ?s)(?! \( \))"),
+    ("kotlin", r"^(?:if|while|for)(?! \()|^class i(?=.* NL)"),
+    ("swift", r"^(?:if|guard|while|for|switch)\b(?!.*\{ \})"),
+    ("java", r"^(?:(?:public|private|protected|static|final|abstract) )*class i(?!.*\{ \})"),
+    ("php", r"^(?:(?:public|private|protected|static|final|abstract) )*function i \( \)(?! \{)(?! :)(?! ;)|^class i(?!.*\{ \})"),
+    ("python", r"^(?:async )?(?:def|class|if|elif|else|for|while|try|except|finally|with)\b(?!.* :(?: |$))|^(?:async )?def (?!i|soft|match|type|case|_)|^class (?!i|match|type|case|_)|^(?:if|elif|while) :|^(?:try|else|finally) (?!:)"),
+    ("ruby", r"^(?:def|class|module)(?: NL)?$"),
+]
+# What may stand outside of all blocks, where a language restricts it.
+TOPS = {
+    "java": r"^(?:package|import|;|@|(?:(?:public|private|protected|static|final|abstract|sealed|strictfp|default) )*(?:class|interface|enum|record)\b)",
+    "go": r"^(?:package|import|func|var|const|type|;)\b",
+    "rust": r"^(?:#|pub|use|mod|fn|struct|enum|impl|trait|const|static|type|extern|unsafe|async|i !)",
+    "csharp": r"^(?!return|if|for|case|break)",
+    "c": r"^(?!return|if|for|while|switch|case|break|continue|else|do|goto)(?!i \( \) ;$)(?!i A)",
+    "cpp": r"^(?!return|if|for|while|switch|case|break|continue|else|do|goto)(?!i \( \) ;$)(?!i A)",
+}
+
+
+def _tops(tokens: list[tuple[str, int]], lang: str) -> set[str]:
+    """Heads of the statements outside of all blocks, for the languages of ``TOPS``."""
+    if lang not in TOPS:
+        return set()
+    out, depth, cur = set(), 0, []
+    for t, _ in tokens:
+        if t == "NL":
+            if lang == "go" and not depth and cur:
+                out.add(" ".join(cur[:12]))
+                cur = []
+            continue
+        if t in "([{" and len(t) == 1:
+            if not depth:
+                cur.append(t)
+            depth += 1
+        elif t in _PAIRED:
+            depth = max(0, depth - 1)
+            if not depth:
+                cur.append(t)
+                if t == "}" and "A" not in cur and "import" not in cur and "use" not in cur:
+                    out.add(" ".join(cur[:12]))
+                    cur = []
+        elif not depth:
+            cur.append(t)
+            if t == ";":
+                out.add(" ".join(cur[:12]))
+                cur = []
+    if cur:
+        out.add(" ".join(cur[:12]))
+    return out
+
+
+@cache
+def _violations(lang: str) -> re.Pattern:
+    rules = [rule for langs, rule in VIOLATIONS if lang in langs.split()]
+    return re.compile("|".join(f"(?:{r})" for r in rules) or r"(?!)")
+
+
+_PY_NEXT = {"except": {"try", "except"}, "elif": {"if", "elif"}, "else": {"if", "elif", "for", "while", "except"}, "finally": {"try", "except", "else"}}
+
+
+def _siblings(tokens: list[tuple[str, int]]) -> set[tuple[str, str]]:
+    """Pairs of neighbouring Python statement heads that depend on each other."""
+    out, stack, head = set(), [["BOF"]], True
+    for t, _ in tokens:
+        if t == ">>":
+            stack.append(["BOF"])
+            head = True
+        elif t == "<<":
+            if stack[-1][0] == "try":
+                out.add(("#try", "#end"))
+            if len(stack) > 1:
+                stack.pop()
+            head = True
+        elif t in ("NL", "CNL"):
+            head = True
+        elif head:
+            if t == "async":
+                continue
+            head = False
+            if stack[-1][0] == "try" or t in _PY_NEXT:
+                out.add(("#" + stack[-1][0], "#" + t if t in _PY_NEXT else "#stmt"))
+            stack[-1][0] = t if t in ("try", "except", "if", "elif", "else", "for", "while", "finally") else "stmt"
+    if stack[-1][0] == "try":
+        out.add(("#try", "#end"))
+    return out
+
+
+def permissible(spark: SparkSession) -> DataFrame:
+    """The table ``language, left, right`` of the grammars; its size does not depend on the data."""
+    rows = [(lang, a, b) for lang in GRAMMARS for a, b in pairs(lang)]
+    rows += [("python", "#" + a, "#" + b) for b, many in _PY_NEXT.items() for a in many]
+    rows += [("python", "BOF", ">>")] * 0
+    return spark.createDataFrame(rows, "language string, left string, right string")
+
+
+def texts(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """``file_id, repo, path, language, text`` of the files in scope; the lines joined by line feeds."""
+    ext = F.lower(F.regexp_extract(F.regexp_replace("path", r"\\", "/"), r"\.([A-Za-z0-9]+)$", 1))
+    known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
+    once = files.filter("file_id IS NOT NULL AND path IS NOT NULL").groupBy("file_id").agg(F.max(F.struct("indexed_at", "path", "repo")).alias("f")).select("file_id", "f.path", "f.repo")
+    scope = once.withColumn("language", F.element_at(known, ext)).filter("language IS NOT NULL")
+    line = F.struct("line_no", F.coalesce("content", F.lit("")).alias("content"))
+    joined = lines.filter("file_id IS NOT NULL AND line_no IS NOT NULL").groupBy("file_id").agg(F.array_sort(F.collect_set(line)).alias("l"))
+    return scope.join(joined, "file_id", "left").withColumn("text", F.coalesce(F.array_join(F.col("l.content"), "\n"), F.lit(""))).drop("l")
+
+
+def invalid(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """``file_id, repo, language, valid`` of every file of a known language.
+
+    The language is that of the path's extension, in any letter case. A file delivered twice
+    counts once (its latest delivery), a line delivered twice once; null contents are empty
+    lines; null ids or paths give no row; a file without lines is an empty text (valid but
+    for JSON). Extra columns are ignored; empty tables give an empty result. A file is one
+    unit of work, as its syntax is; files are spread by a hash of their id.
+    """
+    spark = files.sparkSession
+    source = checkpoint(texts(files, lines))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows: list[tuple] = []
+            for file_id, lang, text in zip(f["file_id"], f["language"], f["text"]):
+                tokens = lex(text, lang)
+                bad = next((t for t, _ in tokens if t.startswith("bad:")), None)
+                if bad:
+                    rows.append((file_id, lang, "pair", 0, "BOF", bad))
+                    continue
+                found, marks, shapes = facts(tokens, lang)
+                if lang == "python":
+                    found |= _siblings(tokens)
+                rows += [(file_id, lang, "pair", 0, a, b) for a, b in found]
+                rows += [(file_id, lang, sign, k, kind, "") for k, (sign, kind) in enumerate(marks)]
+                rows += [(file_id, lang, "stmt", 0, s, "") for s in shapes]
+                rows += [(file_id, lang, "top", 0, s, "") for s in _tops(tokens, lang)]
+            yield pd.DataFrame(rows, columns=["file_id", "language", "tag", "seq", "left", "right"])
+
+    out = source.select("file_id", "language", "text").mapInPandas(run, "file_id long, language string, tag string, seq int, left string, right string")
+    out = checkpoint(out)
+    # adjacent tokens that no rule of the grammar permits
+    wrong = out.filter("tag = 'pair'").join(F.broadcast(permissible(spark)), ["language", "left", "right"], "left_anti").select("file_id")
+    # nesting
+    by_file = Window.partitionBy("file_id").orderBy("seq")
+    nest = out.filter("tag IN ('open', 'close')").withColumn("d", F.sum(F.when(F.col("tag") == "open", 1).otherwise(-1)).over(by_file))
+    nest = nest.withColumn("level", F.col("d") + F.when(F.col("tag") == "close", 1).otherwise(0))
+    by_level = Window.partitionBy("file_id", "level").orderBy("seq")
+    nest = nest.withColumns({"p_tag": F.lag("tag").over(by_level), "p_kind": F.lag("left").over(by_level), "n_tag": F.lead("tag").over(by_level)})
+    closed = (F.col("tag") == "close") & (F.col("d") >= 0) & F.col("p_tag").eqNullSafe(F.lit("open")) & F.col("p_kind").eqNullSafe(F.col("left"))
+    opened = (F.col("tag") == "open") & F.col("n_tag").eqNullSafe(F.lit("close"))
+    broken = nest.filter(~(closed | opened)).select("file_id")
+    # statement productions: the distinct shapes are few, whatever the number of files
+    shapes = out.filter("tag IN ('stmt', 'top')").select("language", "tag", "left").distinct()
+    rules = [(lang, "stmt", _violations(lang).pattern, True) for lang in GRAMMARS] + [(lang, "top", rule, False) for lang, rule in TOPS.items()]
+    violated = F.lit(False)
+    for lang, tag, rule, bad in rules:
+        hit = F.col("left").rlike(rule)
+        violated = violated | ((F.col("language") == lang) & (F.col("tag") == tag) & (hit if bad else ~hit))
+    odd = out.join(shapes.filter(violated), ["language", "tag", "left"], "left_semi").select("file_id")
+    found = wrong.unionByName(broken).unionByName(odd).distinct()
+
+    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keep = [not _parses(t, lang) for t, lang in zip(f["text"], f["language"])]
+            yield f.loc[keep, ["file_id"]]
+
+    suspects = source.join(found, "file_id", "left_semi").select("file_id", "language", "text")
+    sure = suspects.mapInPandas(confirm, "file_id long").withColumn("bad", F.lit(True))
+    return source.select("file_id", "repo", "language").join(sure, "file_id", "left").select("file_id", "repo", "language", F.col("bad").isNull().alias("valid"))
+
+
+def _parses(text: str, lang: str) -> bool:
+    """Exact parse where a parser is at hand; otherwise the finding stands."""
+    try:
+        if lang == "python":
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text)
+            return True
+        if lang == "json":
+            json.loads(text, parse_constant=lambda c: 1 / 0)
+            return True
+    except (SyntaxError, ValueError, ZeroDivisionError, RecursionError, MemoryError):
+        return False
+    return False
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that are not valid text of their language."""
+    return invalid(table(spark, folder, "files"), table(spark, folder, "source_lines")).filter("NOT valid").select("file_id")
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of invalid files per repository and language."""
+    judged = invalid(table(spark, folder, "files"), table(spark, folder, "source_lines"))
+    bad = F.sum(F.when(F.col("valid"), 0).otherwise(1))
+    return judged.groupBy("repo", "language").agg(F.count("*").alias("files"), bad.alias("invalid"), F.round(bad / F.count("*"), 6).alias("share"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
 SQL: dict[str, str] = {}
