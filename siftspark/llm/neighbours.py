@@ -4,14 +4,15 @@ An inverted file of coarse centroids with product-quantised residuals, asymmetri
 distance tables and exact reranking, by cosine.
 
 * Vectors are made unit length. Centroids and the residual codebooks are fitted on a
-  bounded sample (``max_train`` vectors with the smallest hashes of their ids); every
-  vector is indexed.
+  bounded sample (about ``max_train`` vectors, chosen by a hash of their ids); every vector
+  is indexed.
 * An entry (id, home centroid, ``m`` code bytes) is filed under its ``probes`` nearest
   centroids; a query looks only under its own nearest one. So the small entries are
   copied, not the full vectors, and each full vector is shuffled once.
 * Under a centroid every query builds its distance tables (query part times codebook)
   and sums table entries for each code. A cell larger than ``block`` queries or entries
-  is split into a grid of blocks, so a dense topic is spread over tasks.
+  is split into a grid of blocks, so a dense topic is spread over tasks. Rows travel in
+  packs, one binary per cell and batch, since a row of its own would cost more than an entry.
 * The best ``candidates`` of each query by table distance, and at least those above
   ``min_similarity`` less a slack, are reranked with the exact vectors.
 
@@ -108,6 +109,29 @@ def _unit(frame_col: pd.Series, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _packs(cell: np.ndarray, query: bool, most: int, row: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """The given rows of the columns, brought together by cell: one binary of at most ``most`` rows each."""
+    order = np.argsort(cell, kind="stable")
+    cell, row = cell[order], row[order]
+    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    ends = np.r_[cuts[1:], len(cell)]
+    out = [(a, min(b, a + most)) for lo, b in zip(cuts, ends) for a in range(lo, b, most)]
+    body = [b"".join(np.ascontiguousarray(c[row[a:b]]).tobytes() for c in columns) for a, b in out]
+    return pd.DataFrame({"cell": np.array([cell[a] for a, _ in out], np.int32), "query": query, "n": np.array([b - a for a, b in out], np.int32), "body": body})
+
+
+def _unpack(f: pd.DataFrame, *kinds: tuple[str, int]) -> list[np.ndarray]:
+    """Ids and further columns (type, width) of packs."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(kinds) + 1)]
+    for n, body in zip(f["n"], f["body"]):
+        at = 0
+        for k, (kind, width) in enumerate([("<i8", 1), *kinds]):
+            x = np.frombuffer(body, kind, n * width, at)
+            parts[k].append(x.reshape(n, width) if k else x)
+            at += x.nbytes
+    return [np.concatenate(p) for p in parts]
+
+
 def nearest(rows: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, queries=None, min_similarity: float | None = None, candidates: int = 64, slack: float = 0.12, probes: int = PROBES, m: int = M, block: int = BLOCK, max_train: int = MAX_TRAIN) -> DataFrame:
     """The ``k`` most similar vectors of each vector: ``<key>, neighbour, cosine, rank``.
 
@@ -134,8 +158,8 @@ def nearest(rows: DataFrame, k: int = 5, key: str = "id", vector: str = "vector"
     member_ids = copied.join(member, "h").select("rep", F.explode("ids").alias("id"))  # classes of two and more only
     copies = checkpoint(member_ids)
     lone = good.join(copies.filter("id <> rep").select("id"), "id", "left_anti")
-    some = lone.orderBy(F.xxhash64("id"), "id").limit(max_train)
-    fit = Index(_unit(some.toPandas()["v"], dim), n_rows, m)
+    some = lone if n_rows <= max_train else lone.filter(F.pmod(F.xxhash64("id"), F.lit(n_rows)) < max_train)
+    fit = Index(_unit(some.toPandas().sort_values("id")["v"], dim), n_rows, m)
     shared = spark.sparkContext.broadcast(fit)
     cut = None if min_similarity is None else min_similarity - slack
 
@@ -144,40 +168,37 @@ def nearest(rows: DataFrame, k: int = 5, key: str = "id", vector: str = "vector"
         for f in frames:
             if not len(f):
                 continue
-            x = _unit(f["v"], dim)
+            x, ids = _unit(f["v"], dim), f["id"].values.astype("<i8")
             near = index.near(x, probes)
+            home = near[:, 0].astype("<i4")
             code = index.encode(x, near[:, 0])
-            head = near[:, :1].astype("<i4").view(np.uint8).reshape(len(x), 4)
-            entry = [bytes(b) for b in np.concatenate([head, code], 1)]
-            p = near.shape[1]
+            yield _packs(near.ravel(), False, block, np.repeat(np.arange(len(x)), near.shape[1]), ids, home, code)
             q = np.flatnonzero(f["ask"].values)
-            yield pd.DataFrame({"cell": near.ravel(), "query": False, "id": np.repeat(f["id"].values, p), "body": np.repeat(np.array(entry, object), p)})
-            yield pd.DataFrame({"cell": near[q, 0], "query": True, "id": f["id"].values[q], "body": [x[i].tobytes() for i in q]})
+            yield _packs(near[q, 0], True, block, q, ids, x)
 
     filed = lone.select("id", "v", F.coalesce(asks_on(asks, key), F.lit(False)).alias("ask"))
     if queries is not None and copies_exist(copied):  # a copy that asks makes its representative ask
         ask_rep = copies.filter(asks_on(asks, key)).select(F.col("rep").alias("id"), F.lit(True).alias("also")).distinct()
         filed = filed.join(ask_rep, "id", "left").select("id", "v", (F.col("ask") | F.coalesce("also", F.lit(False))).alias("ask"))
-    filed = checkpoint(filed.mapInPandas(file_under, "cell int, query boolean, id long, body binary"))
+    filed = checkpoint(filed.mapInPandas(file_under, "cell int, query boolean, n int, body binary"))
     # cells beyond the block size become a grid of blocks; the counts are two a centroid
-    size = {(r["cell"], r["query"]): r["count"] for r in filed.groupBy("cell", "query").count().collect()}
+    size = {(r["cell"], r["query"]): r["count"] for r in filed.groupBy("cell", "query").agg(F.sum("n").alias("count")).collect()}
     cells = {c for c, _ in size}
     grid = [(int(c), int(max(1, -(-size.get((c, True), 0) // block))), int(max(1, -(-size.get((c, False), 0) // (4 * block))))) for c in cells]
     grid_df = F.broadcast(spark.createDataFrame(grid, "cell int, nq int, nm int"))
-    own_q, own_m = F.pmod(F.xxhash64("id"), F.col("nq")).cast("int"), F.pmod(F.xxhash64("id"), F.col("nm")).cast("int")
+    own_q, own_m = F.pmod(F.xxhash64("body"), F.col("nq")).cast("int"), F.pmod(F.xxhash64("body"), F.col("nm")).cast("int")
     other = F.sequence(F.lit(0), F.when(F.col("query"), F.col("nm")).otherwise(F.col("nq")) - 1)
     placed = filed.join(grid_df, "cell").withColumn("o", F.explode(other))
-    placed = placed.select("cell", F.when(F.col("query"), own_q).otherwise(F.col("o")).alias("bq"), F.when(F.col("query"), F.col("o")).otherwise(own_m).alias("bm"), "query", "id", "body")
+    placed = placed.select("cell", F.when(F.col("query"), own_q).otherwise(F.col("o")).alias("bq"), F.when(F.col("query"), F.col("o")).otherwise(own_m).alias("bm"), "query", "n", "body")
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         index, isq = shared.value, f["query"].values
-        qf, mf = f[isq].drop_duplicates("id"), f[~isq].drop_duplicates("id")
+        qf, mf = f[isq], f[~isq]
         out = []
         if len(qf) and len(mf):
-            q = np.frombuffer(b"".join(qf["body"]), np.float32).reshape(-1, dim)
-            raw = np.frombuffer(b"".join(mf["body"]), np.uint8).reshape(len(mf), -1)
-            home, code = raw[:, :4].copy().view("<i4").ravel(), np.ascontiguousarray(raw[:, 4:])
-            qi, mi = qf["id"].values, mf["id"].values
+            qi, q = _unpack(qf, ("<f4", dim))
+            mi, home, code = _unpack(mf, ("<i4", 1), ("u1", index.m))
+            home = home.ravel()
             for i in range(0, len(q), 256):
                 s = index.similarity(q[i : i + 256], home, code)
                 s[qi[i : i + 256, None] == mi[None, :]] = -2
