@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators import conjunction, evaluate, fusion, graph, lexical, lexicon, symbols, text, vectors
+from siftspark.operators import conjunction, evaluate, extract, fusion, graph, lexical, lexicon, symbols, text, vectors
+from siftspark.plans import hybrid
 from siftspark.sources import facts
 from siftspark.sources.tables import table
+from siftspark.streaming import generations
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -443,6 +445,126 @@ def expand_terms(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.expand(_associations(spark, d), ["voucher"])
 
 
+# --- cascade ------------------------------------------------------------------------------
+
+_PRE = """, ev AS (SELECT * FROM (SELECT t AS term, path AS file, line_no AS line_start, row_number() OVER (PARTITION BY t ORDER BY path, line_no) AS r FROM l, (SELECT unnest(['retry', 'rotated', 'window']) AS t) WHERE contains(lower(content), t)) WHERE r <= 100),
+tf AS (SELECT file, round(sum(1.0::DOUBLE / (1.0 + 0.01 * (r - 1)) * len(term)), 6) AS weight FROM ev GROUP BY file ORDER BY weight DESC, file LIMIT 100)
+"""
+_TERMS = ["retry", "rotated", "window"]
+
+
+@query(_PRE + "SELECT file, weight FROM tf")
+def prefilter_top_files(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid.top_files(hybrid.prefilter(facts.lines(spark, d), _TERMS))
+
+
+@query(_PRE + "SELECT s.path, s.name, s.line_start FROM s WHERE s.path IN (SELECT file FROM tf) AND (" + " OR ".join(f"contains(lower(name), '{t}')" for t in ("retry", "rotated", "window")) + ")")
+def cascade_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    files = hybrid.top_files(hybrid.prefilter(facts.lines(spark, d), _TERMS)).select(F.col("file").alias("path"))
+    own = facts.symbols(spark, d).filter(symbols.any_part(F.col("name"), _TERMS))
+    return own.join(F.broadcast(files), "path", "left_semi").select("path", "name", "line_start")
+
+
+@query(_PRE + ", st AS (SELECT DISTINCT path AS file FROM s WHERE path IN (SELECT file FROM tf) AND contains(lower(name), 'rotated')) SELECT file FROM st UNION ALL SELECT file FROM tf WHERE (SELECT count(*) FROM st) = 0")
+def working_set_fallback(spark: SparkSession, d: str) -> DataFrame:
+    files = hybrid.top_files(hybrid.prefilter(facts.lines(spark, d), _TERMS))
+    inside = facts.symbols(spark, d).filter(symbols.any_part(F.col("name"), ["rotated"])).join(F.broadcast(files.select(F.col("file").alias("path"))), "path", "left_semi")
+    return hybrid.working_files(files, inside.select(F.col("path").alias("file")))
+
+
+@query(", p AS (SELECT symbol, max(score) AS s FROM h WHERE kind = 'embed' AND symbol IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY symbol ORDER BY s DESC, symbol LIMIT 4) SELECT file, line_start, symbol FROM (SELECT e.path AS file, e.line_no AS line_start, e.callee AS symbol, row_number() OVER (PARTITION BY e.callee ORDER BY e.path, e.line_no, e.caller) AS r FROM e JOIN p ON p.symbol = e.callee) WHERE r <= 16")
+def conceptual_fanout(spark: SparkSession, d: str) -> DataFrame:
+    embed = facts.hits(spark, d).filter(F.col("kind") == "embed").filter(fusion.finite(F.col("score")))
+    return hybrid.fanout(embed, facts.calls(spark, d)).select("file", "line_start", "symbol")
+
+
+@query()
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid.search("retry window kept", facts.lines(spark, d), facts.symbols(spark, d), facts.calls(spark, d))
+
+
+# --- inverted file of vectors -------------------------------------------------------------
+
+
+def _ivf(spark: SparkSession, d: str):
+    import numpy as np
+
+    rows = table(spark, d, "embeddings")
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4096).select("embedding").collect()], float)
+    centroids = vectors.ivf_fit(sample, rows.count())
+    return vectors.ivf_assign(rows, "vec_id", "embedding", centroids), centroids
+
+
+@query()
+def ivf_assign(spark: SparkSession, d: str) -> DataFrame:
+    return _ivf(spark, d)[0].select("vec_id", "cell")
+
+
+@query()
+def ivf_probe_topk(spark: SparkSession, d: str) -> DataFrame:
+    assigned, centroids = _ivf(spark, d)
+    return vectors.ivf_search(assigned, _query_vector(spark, d), "vec_id", "embedding", centroids, 10)
+
+
+# --- extraction and structure -------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "content"))), lambda x: x.content), "\n")
+    return facts.lines(spark, d).groupBy("path", "language").agg(joined.alias("content"))
+
+
+@query()
+def extract_facts(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extract(_sources(spark, d)).drop("excerpt")
+
+
+@query()
+def pattern_match(spark: SparkSession, d: str) -> DataFrame:
+    return extract.match_pattern(_sources(spark, d), "def $NAME($$$)").drop("captures")
+
+
+@query()
+def codemod_plan(spark: SparkSession, d: str) -> DataFrame:
+    return extract.codemod(_sources(spark, d), "render($$$)", "draw_$MATCH").select("path", "edits", "error")
+
+
+@query("SELECT path, line_no, coalesce(doc, '') AS doc, scope FROM (SELECT path, line_start AS line_no, doc, scope FROM k WHERE kind IN ('function', 'method'))")
+def semantic_chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    return facts.chunks(spark, d).filter("kind IN ('function', 'method')").select("path", F.col("line_start").alias("line_no"), F.coalesce("doc", F.lit("")).alias("doc"), "scope")
+
+
+# --- incremental --------------------------------------------------------------------------
+
+_INC = """, o AS (SELECT path, content_hash FROM f WHERE file_id % 3 <> 0), nw AS (SELECT path, CASE WHEN file_id % 5 = 0 THEN content_hash || 'x' ELSE content_hash END AS content_hash FROM f)
+"""
+
+
+def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    own = facts.files(spark, d)
+    old = own.filter("file_id % 3 <> 0").select("path", "language", "content_hash", F.lit("").alias("identity"))
+    new = own.select("path", "language", F.when(F.col("file_id") % 5 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")).alias("content_hash"), F.lit("").alias("identity"))
+    return old, new
+
+
+@query(_INC + "SELECT nw.path FROM nw JOIN o ON o.path = nw.path AND o.content_hash = nw.content_hash")
+def unchanged_skip(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _states(spark, d)
+    return generations.unchanged(new, old).select("path")
+
+
+@query(_INC + ", ch AS (SELECT * FROM nw WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.path = nw.path AND o.content_hash = nw.content_hash)) SELECT path, content_hash FROM o WHERE path NOT IN (SELECT path FROM ch) UNION ALL SELECT path, content_hash FROM ch")
+def upsert_generation(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _states(spark, d)
+    return generations.upsert(old, generations.changed(new, old)).select("path", "content_hash")
+
+
+@query("SELECT path FROM f WHERE file_id % 2 = 0 OR language IS DISTINCT FROM 'python'")
+def prune_missing(spark: SparkSession, d: str) -> DataFrame:
+    own = facts.files(spark, d)
+    return generations.prune(own, own.filter("file_id % 2 = 0"), True, "python").select("path")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The cascade from lines to fused, capped and ordered hits over all logged queries."""
     fused = fusion.critic(_fused(spark, d))
