@@ -244,7 +244,8 @@ def extract(sources: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [(p, lang, *x) for p, lang, t in zip(f["path"], f["language"], f["content"]) for x in facts(t, lang)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return sources.filter("content IS NOT NULL AND language IS NOT NULL").select("path", "language", "content").mapInPandas(run, SCHEMA)
 
@@ -302,7 +303,8 @@ def match_pattern(sources: DataFrame, text: str) -> DataFrame:
             for p, lang, t in zip(f["path"], f["language"], f["content"]):
                 for a, b, captures in matches(t, lang, want):
                     out.append((p, t.count("\n", 0, a) + 1, t.count("\n", 0, max(a, b - 1)) + 1, excerpt(t[a:b]), captures))
-            yield pd.DataFrame(out, columns=["path", "line_start", "line_end", "excerpt", "captures"])
+            if out:
+                yield pd.DataFrame(out, columns=["path", "line_start", "line_end", "excerpt", "captures"])
 
     return rows.select("path", "language", "content").mapInPandas(run, schema)
 
@@ -333,7 +335,8 @@ def codemod(sources: DataFrame, text: str, replacement: str) -> DataFrame:
                     new, last = new + t[last:a] + put, b
                 if n:
                     out.append((p, n, new + t[last:], None))
-            yield pd.DataFrame(out, columns=["path", "edits", "rewritten", "error"])
+            if out:
+                yield pd.DataFrame(out, columns=["path", "edits", "rewritten", "error"])
 
     return sources.filter("content IS NOT NULL AND language IS NOT NULL").select("path", "language", "content").mapInPandas(run, schema)
 
