@@ -190,7 +190,9 @@ def pairs(chunks: DataFrame) -> DataFrame:
         for f in frames:
             said = [tells(attached(d, e), n) for d, e, n in zip(f["doc"], f["excerpt"], f["symbol_name"])]
             out = pd.DataFrame({"chunk_id": f["chunk_id"], "symbol_name": f["symbol_name"], "code": f["excerpt"], "description": said})
-            yield out[out["description"] != ""]
+            out = out[out["description"] != ""]
+            if len(out):
+                yield out
 
     source = chunks.filter(F.col("chunk_id").isNotNull() & F.lower(F.trim("kind")).isin("function", "method")).select("chunk_id", "symbol_name", "excerpt", "doc")
     return source.mapInPandas(run, "chunk_id long, symbol_name string, code string, description string").dropDuplicates(["chunk_id"])

@@ -69,7 +69,7 @@ exp = 'default' ( expr end | fn | cls | 'async' 'function' params block ) | name
 program = [ '#!' ] { stmt } 'EOF'
 """
 _JS = _JS_EXPR.replace("| 'as' type ", "").replace("[ typed ]", "").replace("[ ':' type ]", "").replace("[ generics ]", "").replace("[ targs ]", "").replace("[ 'implements' type { ',' type } ]", "").replace("[ '?' | '!' ]", "").replace("| '!' | s |", "| s |").replace("[ 'abstract' ] ", "")
-_TS = _JS_EXPR.replace("mod = 'static'", "mod = 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'declare' | 'override' | decorator | 'static'").replace("pattern = 'i'", "pattern = [ 'public' | 'private' | 'protected' | 'readonly' ] 'i' [ '?' | '!' ]").replace("| 'debugger' end", "| 'debugger' end | 'type' 'i' [ generics ] 'A' type end | [ 'const' ] 'enum' 'i' '{' [ key [ 'A' expr ] { ',' key [ 'A' expr ] } [ ',' ] ] '}' | 'interface' 'i' [ generics ] [ 'extends' type { ',' type } ] tbody | 'declare' stmt | ( 'namespace' | 'module' ) ( 'i' | 's' ) block | decorator") + """
+_TS = _JS_EXPR.replace("'as' type |", "'as' type | targs '(' [ args ] ')' |").replace("mod = 'static'", "mod = 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'declare' | 'override' | decorator | 'static'").replace("pattern = 'i'", "pattern = [ 'public' | 'private' | 'protected' | 'readonly' ] 'i' [ '?' | '!' ]").replace("| 'debugger' end", "| 'debugger' end | 'type' 'i' [ generics ] 'A' type end | [ 'const' ] 'enum' 'i' '{' [ key [ 'A' expr ] { ',' key [ 'A' expr ] } [ ',' ] ] '}' | 'interface' 'i' [ generics ] [ 'extends' type { ',' type } ] tbody | 'declare' stmt | ( 'namespace' | 'module' ) ( 'i' | 's' ) block | decorator") + """
 typed = ':' type
 decorator = '@' 'i' { '.' 'i' } [ '(' [ args ] ')' ] nl
 generics = '<' gen { ',' gen } '>'

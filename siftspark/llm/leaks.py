@@ -187,7 +187,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
                         found += _judge(index, ids, texts)
                         ids, texts, held = [], [], 0
                 found += _judge(index, ids, texts)
-                yield pd.DataFrame(found, columns=[key, item_key])
+                if found:
+                    yield pd.DataFrame(found, columns=[key, item_key])
 
         source = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL AND t <> ''")
         return source.mapInPandas(run, schema)

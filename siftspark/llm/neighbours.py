@@ -174,7 +174,8 @@ def nearest(rows: DataFrame, k: int = 5, key: str = "id", vector: str = "vector"
             code = index.encode(x, near[:, 0])
             yield _packs(near.ravel(), False, block, np.repeat(np.arange(len(x)), near.shape[1]), ids, home, code)
             q = np.flatnonzero(f["ask"].values)
-            yield _packs(near[q, 0], True, block, q, ids, x)
+            if len(q):
+                yield _packs(near[q, 0], True, block, q, ids, x)
 
     filed = lone.select("id", "v", F.coalesce(asks_on(asks, key), F.lit(False)).alias("ask"))
     if queries is not None and copies_exist(copied):  # a copy that asks makes its representative ask

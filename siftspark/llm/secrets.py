@@ -215,10 +215,9 @@ def find(lines: DataFrame, keys: list[str], content: str = "content") -> DataFra
             for i in hit.tolist():
                 if found := spans(texts[i]):
                     out.append((i, len(found), mask(texts[i], found)))
-            part = f.iloc[[i for i, _, _ in out]][keys].copy()
-            part["secrets"] = [n for _, n, _ in out]
-            part["masked"] = [t for _, _, t in out]
-            yield part
+            part = pd.DataFrame({k: [f[k].iloc[i] for i, _, _ in out] for k in keys} | {"secrets": [n for _, n, _ in out], "masked": [t for _, _, t in out]})
+            if out:
+                yield part
 
     source = lines.select(*keys, content).filter(F.col(content).isNotNull() & (F.length(content) >= 6))
     return source.mapInPandas(run, schema).dropDuplicates(keys)

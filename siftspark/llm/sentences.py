@@ -348,7 +348,8 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
                 e = ends(t, size)
                 ids += [i] * len(e)
                 out += e
-            yield pd.DataFrame({key: ids, "end_pos": out})
+            if out:
+                yield pd.DataFrame({key: ids, "end_pos": out})
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -395,7 +396,8 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
                 e = [x + r.base for x in run(_chunk_events(r.w, r.left_, r.size, r.final), r.state)]
                 ids += [r.id] * len(e)
                 out += [x for x in e]
-            yield pd.DataFrame({key: ids, "end_pos": out})
+            if out:
+                yield pd.DataFrame({key: ids, "end_pos": out})
 
     cut = ready.select("id", "base", "left_", "size", "final", "w", "state").mapInPandas(emit, f"{key} {id_type}, end_pos long")
     return done.unionByName(cut).filter("end_pos > 0").distinct()

@@ -47,7 +47,21 @@ _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7}|={7})(?:[ \t].*)?$", re.MULTILINE)
 _BLOCK = {"rust", "swift", "kotlin"}  # nested block comments
 _NUMBER = r"(?:0[xXbBoO][0-9a-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*)"
 _OPS = ">>>= <=> === !== **= <<= >>= ... ..< ..= ??= &&= ||= ?-> -> => :: ++ -- += -= *= /= %= &= |= ^= .= == != <= >= && || << >> ?? ?. ?: !! := <- &. .. ** =~ !~ ~= // @ # + - * / % & | ^ ~ ! < > = ? : ; , . ( ) [ ] { } \\ $".split()
-_OP = "|".join(re.escape(o) for o in sorted(_OPS, key=len, reverse=True))
+# Marks of several characters that only some languages have; elsewhere they are read as their parts.
+_ONLY = {
+    "?:": "kotlin", "!!": "kotlin", "<-": "go", "//": "python", "&.": "ruby", "?->": "php", "=~": "ruby", "!~": "ruby", "~=": "swift", "<=>": "ruby php cpp", "**": "python javascript typescript ruby php", "**=": "python javascript typescript ruby php",
+    "..<": "swift", "..=": "rust", "&&=": "javascript typescript ruby", "||=": "javascript typescript ruby", "??=": "javascript typescript csharp php", "??": "javascript typescript csharp php swift", "===": "javascript typescript php ruby kotlin swift", "!==": "javascript typescript php kotlin swift",
+    ":=": "go python", "::": "c cpp rust java php ruby kotlin csharp", "?.": "javascript typescript kotlin swift csharp", "=>": "javascript typescript rust csharp php ruby", "->": "c cpp rust java php ruby kotlin swift python csharp", "..": "rust ruby kotlin csharp",
+    "++": "javascript typescript go java csharp c cpp php kotlin", "--": "javascript typescript go java csharp c cpp php kotlin",
+}
+
+
+@cache
+def _op(lang: str) -> str:
+    own = [o for o in _OPS if lang in _ONLY.get(o, lang).split()]
+    return "|".join(re.escape(o) for o in sorted(own, key=len, reverse=True))
+
+
 _PAIRED = {")": "(", "]": "[", "}": "{"}
 
 
@@ -113,7 +127,7 @@ def _scanner(lang: str) -> re.Pattern:
         parts.append(r"(?P<n>" + _NUMBER + r"(?:[uUlLfFdDmMnij]{0,3}|[iu](?:8|16|32|64|128|size)|f(?:32|64)|r)(?![\w]))")
     if lang != "ruby":
         parts.append(r"(?P<w>[A-Za-z_$][\w$]*)" if lang in ("javascript", "typescript", "java") else r"(?P<w>`[A-Za-z_]\w*`|[^\W\d]\w*)")
-    parts.append("(?P<o>" + _OP + ")")
+    parts.append("(?P<o>" + _op(lang) + ")")
     parts.append(r"(?P<nl>\n)|(?P<x>\S)")
     return re.compile("|".join(parts), re.MULTILINE)
 
@@ -227,7 +241,7 @@ def lex(text: str, lang: str) -> list[tuple[str, int]]:
             if prev in (".", "?.", "&.", "->", "?->") and not (lang == "rust" and word == "await"):
                 cls = "i" if lang != "ruby" or prev != "." else "i"
             elif word in soft and cls != "i":
-                after = re.compile(r"[ \t]*(\n|" + _OP + r"|[\"'`]|\w)?").match(text, pos)
+                after = re.compile(r"[ \t]*(\n|" + _op(lang) + r"|[\"'`]|\w)?").match(text, pos)
                 a = after.group(1) or "\n"
                 b = ops.get(a, "NL" if a == "\n" else "s" if a in "\"'`" else "n" if a.isdigit() else "i")
                 if (prev, "i") in permitted and ("i", b) in permitted and not ((prev, word) in permitted and (word, b) in permitted and b in ("i", "s", "{", "[", "n")):
@@ -510,7 +524,8 @@ def invalid(files: DataFrame, lines: DataFrame) -> DataFrame:
                 rows += [(file_id, lang, sign, k, kind, "") for k, (sign, kind) in enumerate(marks)]
                 rows += [(file_id, lang, "stmt", 0, s, "") for s in shapes]
                 rows += [(file_id, lang, "top", 0, s, "") for s in _tops(tokens, lang)]
-            yield pd.DataFrame(rows, columns=["file_id", "language", "tag", "seq", "left", "right"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_id", "language", "tag", "seq", "left", "right"])
 
     out = source.select("file_id", "language", "text").mapInPandas(run, "file_id long, language string, tag string, seq int, left string, right string")
     out = checkpoint(out)
@@ -538,7 +553,8 @@ def invalid(files: DataFrame, lines: DataFrame) -> DataFrame:
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             keep = [not _parses(t, lang) for t, lang in zip(f["text"], f["language"])]
-            yield f.loc[keep, ["file_id"]]
+            if any(keep):
+                yield f.loc[keep, ["file_id"]]
 
     suspects = source.join(found, "file_id", "left_semi").select("file_id", "language", "text")
     sure = suspects.mapInPandas(confirm, "file_id long").withColumn("bad", F.lit(True))

@@ -1,0 +1,240 @@
+"""The operators for training data: small cases, hostile inputs, comparison with brute force."""
+
+import datetime as dt
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from siftspark.llm import containers, distinctive, documented, grammar, handwritten, leaks, neighbours, outranking, secrets, sentences, syntax
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+# --- 1 ----------------------------------------------------------------------------------------
+
+
+def test_neighbours_match_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 16))
+    x = np.repeat(base, 5, 0) + 0.05 * rng.normal(size=(300, 16))
+    data = [(i, x[i].astype("float32").tolist(), "extra") for i in range(300)]
+    data += [(0, x[0].astype("float32").tolist(), "twice"), (900, None, ""), (901, [1.0], ""), (902, [0.0] * 16, ""), (903, [float("nan")] * 16, ""), (None, x[1].astype("float32").tolist(), "")]
+    df = spark.createDataFrame(data, "id long, vector array<float>, neighbour string")
+    got = {(r.id, r.neighbour) for r in neighbours.nearest(df, 3, dim=16, min_similarity=0.9, m=8).collect()}
+    x = x.astype("float32").astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(300) for j in np.argsort(-s[i])[:3] if s[i, j] >= 0.9}
+    assert got == want
+    few = neighbours.nearest(df, 3, dim=16, queries=lambda c: c % 100 == 0, m=8)
+    assert {r.id for r in few.collect()} == {0, 100, 200}
+
+
+def test_copies_of_a_vector(spark):
+    v = [float(i + 1) for i in range(16)]
+    data = [(i, v) for i in range(50)] + [(100 + i, [float((i * 7 + j) % 5 + 1) for j in range(16)]) for i in range(20)]
+    got = neighbours.nearest(spark.createDataFrame(data, "id long, vector array<float>"), 3, dim=16, min_similarity=0.999, m=8)
+    own = [r for r in got.collect() if r.id < 50]
+    assert len(own) == 150 and all(abs(r.cosine - 1) < 1e-9 for r in own)
+    empty = spark.createDataFrame([], "id long, vector array<float>")
+    assert neighbours.nearest(empty, 3).count() == 0
+
+
+# --- 2 ----------------------------------------------------------------------------------------
+
+
+def test_tail_is_exact():
+    from math import comb, log10
+
+    for k, n, K, N in [(2, 5, 7, 40), (1, 10, 3, 50), (5, 5, 9, 30), (0, 4, 4, 20), (3, 20, 25, 40)]:
+        p = sum(comb(K, i) * comb(N - K, n - i) for i in range(k, min(n, K) + 1)) / comb(N, n)
+        assert distinctive.log10_upper_tail([k], [n], [K], [N])[0] == pytest.approx(log10(p), abs=1e-9)
+    assert distinctive.lgamma(np.array([1.0, 5.0]))[1] == pytest.approx(np.log(24), abs=1e-12)
+
+
+def test_enrichment(spark):
+    data = [(1, 1, "common rareterm rareterm"), (1, 1, "common rareterm rareterm"), (1, 2, None), (2, 1, "common"), (None, 1, "lost words"), (3, 1, "")]
+    counts = distinctive.content_counts(spark.createDataFrame(data, "file_id long, line_no int, content string"))
+    got = {(r.record, r.term): r for r in distinctive.enrichment(counts).collect()}
+    assert set(got) == {(1, "common"), (1, "rareterm"), (2, "common")} and got[1, "rareterm"].tf == 2
+    assert got[1, "rareterm"].score > got[1, "common"].score and all(0 <= r.fdr <= 1 for r in got.values())
+    assert distinctive.enrichment(counts.limit(0)).count() == 0
+
+
+# --- 3 ----------------------------------------------------------------------------------------
+
+
+def _corpus(spark, files):
+    f = spark.createDataFrame([(i, r, p, lang, T0 + dt.timedelta(i), T0) for i, r, p, lang, _ in files], "file_id long, repo string, path string, language string, mtime timestamp, indexed_at timestamp")
+    lines = spark.createDataFrame([(r, i, k + 1, c) for i, r, _, _, t in files for k, c in enumerate(t.split("\n"))] or [("", 0, 0, "")], "repo string, file_id long, line_no int, content string")
+    return f, lines
+
+
+def test_handwritten(spark):
+    own = "\n".join(f"    value_{i} = compute_something_{i}(argument, {i * 37 % 101})" for i in range(30))
+    files = [
+        (1, "a", "a/src/x.py", None, own), (2, "b", "b/src/y.py", None, own.replace("value_3 ", "renamed ")),
+        (3, "a", "a/m.js", None, "/*! lib */\n" + "var a=1;b(2);" * 60), (4, "a", "a/vendor/z.go", None, "package z"),
+        (5, "a", "a/t.c", None, "int t[] = {\n" + "\n".join("0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x08, 0x09," for _ in range(9)) + "\n};"),
+        (6, "a", "a/g.py", None, "# Code generated by tool. DO NOT EDIT.\nx = 1"), (7, "a", "a/h.py", None, '# Writes the "DO NOT EDIT" line on top of every file.\nx = open_something(1)'),
+        (8, "a", "a/readme.md", None, "<!-- generated by x -->"), (9, "a", "a/n.py", None, ""),
+        (10, "a", "a/s.py", None, "\n".join(f"def get_{i}(v):\n    return {i}" for i in range(9))),
+    ]
+    f, lines = _corpus(spark, files)
+    got = {r.file_id: r.kind for r in handwritten.classify(f, lines.unionByName(lines)).collect()}
+    assert got == {2: "copied", 3: "minified", 4: "vendored", 5: "data", 6: "generated", 10: "generated"}
+    assert handwritten.classify(f.limit(0), lines.limit(0)).count() == 0
+
+
+# --- 4 ----------------------------------------------------------------------------------------
+
+
+def test_net_flow_matches_pairs(spark):
+    rng = np.random.default_rng(3)
+    vals = {c: rng.integers(0, 12, 40).astype(float) * s for c, s in (("a", 1.0), ("b", 1000.0))}
+    data = [(1, i, c, float(v[i]), 1.0, "x") for c, v in vals.items() for i in range(40)] + [(1, 50, "a", float("inf"), 1.0, ""), (1, 51, "a", None, 1.0, ""), (1, 0, "a", -5.0, 1.0, ""), (2, 7, "a", 1.0, 1.0, ""), (2, 8, "z", 1.0, 0.0, "")]
+    out = outranking.net_flow(spark.createDataFrame(data, "g long, i long, criterion string, value double, weight double, flow string"), ["g"], ["i"])
+    got = {(r.g, r.i): r for r in out.collect()}
+    assert len(got) == 41 and got[2, 7].flow == 0 and got[2, 7].rank == 1
+    want = np.zeros(40)
+    for v in vals.values():
+        pct = np.array([((v < x).sum() + ((v == x).sum() - 1) / 2) / 39 for x in v])
+        d = np.clip((pct[:, None] - pct[None, :]) / outranking.THRESHOLD, 0, 1)
+        want += (d.sum(1) - d.sum(0)) / 39 / 2
+    assert max(abs(got[1, i].flow - want[i]) for i in range(40)) < 1e-6
+    assert outranking.net_flow(spark.createDataFrame([], "g long, i long, criterion string, value double, weight double"), ["g"], ["i"]).count() == 0
+
+
+# --- 5 ----------------------------------------------------------------------------------------
+
+VALID = {
+    "python": "def f(a, *b, c=1, **d):\n    if a:\n        return [x for x in b if x]\n    try:\n        g(a)[1:2]\n    except (A, B) as e:\n        raise\n    return {'k': f'{a}'}\n\n@dec\nclass C(B):\n    x: int = 3\n",
+    "javascript": "import { a } from 'b';\nexport class C { m(x) { for (const i of x) { f(i); } return x ? 1 : 2; } }\nconst g = async (a, { b }) => { await h(a); };\nlet r = /a[/]b/g, t = `x ${1}`\nif (a) b(); else { c() }\n",
+    "typescript": "export function f(a: string, b?: number): Map<string, number[]> {\n  const x: number[] = [1, 2];\n  return g<string>(a);\n}\ninterface I { a: string; b(): void }\n",
+    "go": "package x\n\nimport \"fmt\"\n\nfunc (s *T) F(a string, b int) (int, error) {\n\tif a == \"\" {\n\t\treturn 1, nil\n\t}\n\tfor i, v := range g(a) {\n\t\th(i, v)\n\t}\n\tx := []int{1, 2}\n\treturn len(x), nil\n}\n",
+    "rust": "use a::b;\n\nimpl<T> Foo<T> {\n    pub fn f(&self, a: &str) -> Option<u32> {\n        for x in g(a) { h(&x)?; }\n        let v = vec![1, 2];\n        match a { \"x\" => Some(1), _ => None }\n    }\n}\n",
+    "java": "package a.b;\nimport c.D;\npublic class A<T> extends B {\n    private final int[] x = {1, 2};\n    public int f(String a, int b) throws E {\n        for (String s : g(a)) { h(s); }\n        if (a == null) { return 1; }\n        return (int) b;\n    }\n}\n",
+    "csharp": "using A.B;\npublic class C : D {\n    public int F(string a) {\n        foreach (var x in G(a)) { H(x); }\n        var y = new[] { 1, 2 };\n        return 1;\n    }\n}\n",
+    "ruby": "require 'x'\nclass A < B\n  def f(a, b = nil)\n    return 0 if a.nil?\n    g(a).each do |x|\n      h(x)\n    end\n    { k: 1, 'a' => 2 }\n  end\nend\n",
+    "c": "#include <a.h>\nstatic const unsigned char t[] = { 0x01, 0x02 };\nint f(const char *a, int b) {\n    for (int i = 0; i < 3; i++) { g(a, i); }\n    if (b == 0) { return 1; }\n    return 0;\n}\n",
+    "cpp": "#include <a>\nclass A {\npublic:\n    int f(const std::string &a) {\n        std::vector<int> v = {1, 2};\n        for (const auto &x : g(a)) { h(x); }\n        return 0;\n    }\n};\n",
+    "kotlin": "package a.b\nimport c.D\nclass A {\n    fun f(a: String, b: Int): Int {\n        for (x in g(a)) { h(x) }\n        val y = i(a, 1)\n        if (a.isEmpty()) { return 1 }\n        return 0\n    }\n}\n",
+    "swift": "import A\nclass B {\n    func f(a: String, b: Int) -> Int {\n        for x in g(a) { h(x) }\n        let y = [1, 2]\n        if a.isEmpty { return 1 }\n        return 0\n    }\n}\n",
+    "php": "<?php\nuse A\\B\\C;\nclass D {\n    public function f($a, $b) {\n        foreach (g($a) as $x) { h($x); }\n        $y = [1, 2];\n        if ($a === null) { return 1; }\n        return 0;\n    }\n}\n",
+    "json": '{"a": [1, -2.5e3, true, null], "b": {}}',
+}
+EXT = {"python": "py", "javascript": "js", "typescript": "ts", "rust": "rs", "csharp": "cs", "ruby": "rb", "kotlin": "kt"}
+
+
+def test_syntax(spark):
+    files, want = [], {}
+    for lang, good in VALID.items():
+        body = good.rstrip("\n")
+        bad = [body[: len(body) * 2 // 3].rsplit("\n", 1)[0] + "\n<<<<<<< HEAD\nx\n=======\n>>>>>>> b", body + "\n)", "The silo was sparse when the vector closed, so it's open."]
+        if lang not in ("python", "ruby"):
+            bad.append(body[: body.rindex("}")])
+        for k, t in enumerate([body, *bad]):
+            want[len(files)] = k == 0
+            files.append((len(files), "r", f"d/f{len(files)}.{EXT.get(lang, lang).upper()}", None, t))
+    f, lines = _corpus(spark, files)
+    got = {r.file_id: r.valid for r in syntax.invalid(f, lines.unionByName(lines)).collect()}
+    wrong = [(files[i][2], files[i][4][-60:]) for i in want if got[i] != want[i]]
+    assert not wrong
+    assert syntax.invalid(f.limit(0), lines.limit(0)).count() == 0
+
+
+def test_grammar_pairs():
+    assert ("i", "i") not in grammar.pairs("python") and (":", "CNL") in grammar.pairs("python") and ("{", "s") in grammar.pairs("json")
+
+
+# --- 6 ----------------------------------------------------------------------------------------
+
+
+def test_documented(spark):
+    yes = [("f", "Tries the lock twice before it gives up.", None), ("f", None, 'def f(a):\n    """Returns the newest entry."""\n    return a'), ("f", "@param a the key to look up", ""), ("f", "TODO: x. Walks the list backwards so that new ones win.", "")]
+    no = [("f", None, None), ("f", "   ", "def f():\n    pass"), ("setUp", "Set up.", ""), ("f", "TODO: document this", ""), ("f", "@param a\n@return", ""), ("f", "=====", ""), ("f", "eslint-disable-next-line", ""), ("f", "return a;", ""), ("f", "Copyright the A authors. All rights reserved.", ""), ("f", "{@inheritDoc}", ""), ("f", None, "int f(int a) {\n    // see x\n    return a;\n}"), ("f", "...", "")]
+    data = [(i, "function", n, e, d, "x") for i, (n, d, e) in enumerate(yes + no)] + [(0, "function", "f", None, yes[0][1], "x"), (None, "method", "f", None, yes[0][1], "x"), (99, "class", "f", None, yes[0][1], "x")]
+    df = spark.createDataFrame(data, "chunk_id long, kind string, symbol_name string, excerpt string, doc string, description string")
+    assert [r.chunk_id for r in documented.pairs(df).orderBy("chunk_id").collect()] == list(range(len(yes)))
+    assert documented.pairs(df.limit(0)).count() == 0
+
+
+# --- 7 ----------------------------------------------------------------------------------------
+
+
+def test_secrets(spark):
+    key = "AKIA" + "ABCDEFGH23456789"
+    yes = [f'x = "{key}"', f'x = "{key[:9]}" + "{key[9:]}"', "password: 'hunter2X!'", "curl -u me:Abc123xyz https://h", "postgres://u:Qw3rtY9@h/db", "-----BEGIN RSA PRIVATE KEY-----", "DB_PASSWORD=morzubn-wexdro-16", "machine h login u password Zx9-Kq2wer"]
+    no = ["password = ''", "api_key = os.environ['API_KEY']", "token = <token>", "secret: ${SECRET}", "-----BEGIN PUBLIC KEY-----", 'pwd = "********"', "the password must be rotated", None, "", 'sha = "9fc394fb56748dcc53cfead6680826db"']
+    df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(yes + no)] + [(0, yes[0], "m")], "id long, content string, masked string")
+    got = {r.id: r.masked for r in secrets.find(df, ["id"]).collect()}
+    assert set(got) == set(range(len(yes)))
+    assert got[0] == 'x = "XXXXXXXXXXXX00000000"' and all(len(got[i]) == len(t) for i, t in enumerate(yes))
+    assert secrets.find(df.limit(0), ["id"]).count() == 0
+
+
+# --- 8 ----------------------------------------------------------------------------------------
+
+
+def test_containers(spark):
+    rng = np.random.default_rng(5)
+    data = [(i, "w " * int(n), "c") for i, n in enumerate(rng.integers(1, 14, 300))] + [(900, "w " * 105, ""), (901, None, ""), (902, "  ", ""), (None, "a b", ""), (0, "w", "")]
+    out = containers.pack(spark.createDataFrame(data, "doc_id long, text string, container string"), 32, per_task=20).toPandas()
+    size = out.groupby("container").tokens.sum()
+    assert size.max() <= 32 and ((32 - size) == out.groupby("container").room.first()).all()
+    assert set(out.doc_id) == set(range(300)) | {900} and out[out.doc_id == 900].tokens.sum() == 105 and sorted(out[out.doc_id == 900].piece) == [0, 1, 2, 3]
+    assert len(size) <= 1.1 * np.ceil(out.tokens.sum() / 32)
+    assert containers.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+# --- 9 ----------------------------------------------------------------------------------------
+
+
+def test_leaks(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, "x ONE, two;three\nfour five-six seven eight nine ten. y"), (2, "one two three four five six seven eight nine"), (3, None), (4, ""), (5, "z " * 50_000 + item + " z" * 50_000), (6, "three fo\u00adur five six seven eight nine ten eleven twelve"), (1, "x ONE, two;three\nfour five-six seven eight nine ten. y"), (7, "one two three four five six sevn eight nine ten")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    items = spark.createDataFrame([(10, item), (11, "too short"), (12, None)], "item_id long, text string")
+    assert rows(leaks.leaks(d, items)) == [(1, 10), (5, 10), (6, 10)]
+    assert (7, 10) in rows(leaks.leaks(d, items, edits=1))
+    assert leaks.leaks(d, items.limit(0)).count() == 0 and leaks.leaks(d.limit(0), items).count() == 0
+
+
+# --- 10 ---------------------------------------------------------------------------------------
+
+TEXTS = [
+    ("Mr. Smith paid approx. 3.5 MB. It works! Does it?", ["Mr. Smith paid approx. 3.5 MB.", "It works!", "Does it?"]),
+    ('He asked: "Is it on? I doubt it." We left.', ['He asked: "Is it on? I doubt it."', "We left."]),
+    ('"Is it on?" asked the man. (It was.) Fine.', ['"Is it on?" asked the man.', "(It was.)", "Fine."]),
+    ("Am 3. März kam z. B. Dr. Wolf. Er blieb.", ["Am 3. März kam z. B. Dr. Wolf.", "Er blieb."]),
+    ("“空的吗？”他问道。他说：“是的。”走了。", ["“空的吗？”他问道。", "他说：“是的。”", "走了。"]),
+    ("# Head\n\n- one. two\n- three\n\nA bee.\nC d", ["# Head", "- one. two", "- three", "A bee.", "C d"]),
+    ("Text.\r\n```py\nx. Y.\n```\nEnd", ["Text.", "```py\nx. Y.\n```", "End"]),
+    ("ระบบดี ตารางนี้", ["ระบบดี", "ตารางนี้"]),
+    ("क्या है? हाँ। ठीक", ["क्या है?", "हाँ।", "ठीक"]),
+]
+
+
+@pytest.mark.parametrize("text,want", TEXTS)
+def test_sentences(text, want):
+    clean, at, got = sentences.normalise(text), 0, []
+    for e in sentences.ends(text):
+        got.append(clean[at:e].strip())
+        at = e
+    assert got == [w.replace("\r\n", " \n") for w in want]
+
+
+def test_sentences_do_not_depend_on_cuts(spark):
+    text = "\n\n".join(t for t, _ in TEXTS) * 12
+    want = sentences.ends(text, 10**9)
+    assert all(sentences.ends(text, n) == want for n in (64, 200, 1000))
+    df = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "", 5), (4, "  \n ", 5), (None, "A. B", 5), (1, text, 5), (5, "One. Two", 5)], "doc_id long, text string, end_pos long")
+    got = rows(sentences.units(df, size=300))
+    assert [e for i, e in got if i == 1] == want and [e for i, e in got if i == 5] == [4, 8] and {i for i, _ in got} == {1, 5}
+    assert sentences.units(df.limit(0)).count() == 0
