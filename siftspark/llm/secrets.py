@@ -72,7 +72,7 @@ _PATHY = re.compile(r"^(?:(?:\.{0,2}/)?[a-z_.-]*(?:/[a-z0-9_.-]+)+|[A-Za-z]:\\.*
 def announces(name: str) -> bool:
     """Does a variable or key of this name hold a secret?"""
     n = re.sub(r"[^a-z0-9]", "", name.lower())
-    if re.search(r"public(?:key|token)|(?:hash|hashed|sha|sha256|md5|fingerprint|length|count|policy|expiry|ttl|url|uri|path|file)$", n) or n.endswith("id") and not n.endswith("accesskeyid"):
+    if re.search(r"public(?:key|token)|(?:hash|hashed|sha|sha256|md5|fingerprint|length|count|policy|expiry|ttl|url|uri|path|file)$", n) or re.search(r"[a-z]I[dD]$|[_.-](?i:id)$", name) and not n.endswith("accesskeyid"):
         return False
     return any(x in n for x in NAMES) or n.endswith("token") and n not in ("token",) and _secret_token(name) or n == "token"
 

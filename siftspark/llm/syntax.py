@@ -390,6 +390,7 @@ VIOLATIONS = [
     ("rust", r"^(?:pub )?fn i(?!.*(?:\{ \}|;))|^impl\b(?!.*\{ \})"),
     ("javascript typescript", r"^(?:export (?:default )?)?(?:async )?function (?!(?:\* )?(?:i )?(?:<[^(]*> )?\()|^(?:export )?class i(?!.*\{ \})|^(?:export )?const (?:i|: )+;$|^import (?!.*s)(?!\()"),
     ("javascript", r"^(?:export )?(?:async )?function i \( \)(?! \{)"),
+    ("javascript", r"^(?:export )?(?:let|const|var) (?:i|\[ \]|\{ \}) :|^(?:export )?(?:async )?(?:function )?i \( \) :"),
     ("go", r"^func\b(?!.*\{ \})|^(?:if|for|switch|select)\b(?!.*\{ \})|^import(?! [i.]? ?s)(?! \( \))"),
     ("kotlin", r"^(?:if|while|for)(?! \()|^class i(?=.* NL)"),
     ("swift", r"^(?:if|guard|while|for|switch)\b(?!.*\{ \})"),
