@@ -1,10 +1,9 @@
 """Problem 8: filling fixed-capacity containers with documents.
 
-Bulk-synchronous best fit. In each round the documents are taken from the largest
-down and the gaps (containers with room) from the tightest up; every gap takes the
-largest document that fits it, a document that several gaps could take goes to the
-tightest (the conflict is resolved by rank), the gaps shrink, and the round repeats
-until no document fits any gap; what is left opens new containers.
+Bulk-synchronous best fit. Documents are sorted by size, gaps (containers with room) by
+room. A round matches all documents of the largest size left with their successors, the
+tightest gaps that hold them; where several want one gap they are served by rank, the
+gaps shrink, and the next round follows. Documents without a gap open new containers.
 
 Documents of one size are interchangeable, and so are gaps of one room. The sweeps
 therefore run over the at most ``capacity`` size classes and match whole rank ranges
@@ -35,40 +34,46 @@ def sweep(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     Documents of ``size`` with ranks ``rank_from <= r < rank_to`` go to the containers
     ``container_from + (r - rank_from)``.
     """
-    left = {s: n for s, n in histogram.items() if n > 0}
-    taken: dict[int, int] = defaultdict(int)
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> ranges of containers
     out, opened = [], 0
-
-    def place(size: int, first: int, n: int) -> None:
-        out.append((size, taken[size], taken[size] + n, first))
-        taken[size] += n
-        left[size] -= n
-        if not left[size]:
-            del left[size]
-
-    while left:
-        matched = False
-        fresh: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for room in sorted(gaps):  # tightest gap first: it wins its document
-            for first, n in gaps[room]:
-                while n and (size := max((s for s in left if s <= room), default=0)):
-                    k = min(n, left[size])
-                    place(size, first, k)
-                    matched = True
-                    if room > size:
-                        fresh[room - size].append((first, k))
-                    first, n = first + k, n - k
-                if n:
-                    fresh[room].append((first, n))
-        gaps = fresh
-        if not matched and left:
-            size = max(left)  # nothing fits: the largest class opens containers
-            n = left[size]
-            place(size, opened, n)
-            if capacity > size:
-                gaps[capacity - size].append((opened, n))
-            opened += n
+    for size in sorted((s for s, n in histogram.items() if n > 0), reverse=True):
+        left, rank = histogram[size], 0
+
+        def fill(room: int, first: int, many: int, size: int = size) -> list[tuple[int, int, int]]:
+            """Give each of the containers as many documents as fit; what is left of them by room."""
+            nonlocal left, rank
+            each = room // size
+            rest = []
+            full = min(many, left // each)
+            if full:
+                for k in range(each):
+                    out.append((size, rank + k * full, rank + (k + 1) * full, first))
+                rank, left = rank + each * full, left - each * full
+                rest.append((room - each * size, first, full))
+            if full < many and left:  # one more takes the last documents
+                n = min(left, each)
+                for k in range(n):
+                    out.append((size, rank + k, rank + k + 1, first + full))
+                rank, left = rank + n, left - n
+                rest.append((room - n * size, first + full, 1))
+                full += 1
+            if full < many:
+                rest.append((room, first + full, many - full))
+            return rest
+
+        for room in sorted(r for r in gaps if r >= size):  # successors: the tightest gap first
+            if not left:
+                break
+            for first, many in gaps.pop(room):
+                for r, f, m in fill(room, first, many) if left else [(room, first, many)]:
+                    if r:
+                        gaps[r].append((f, m))
+        if left:  # nothing has room: new containers, as full of this size as they get
+            many = -(-left // (capacity // size))
+            for r, f, m in fill(capacity, opened, many):
+                if r:
+                    gaps[r].append((f, m))
+            opened += many
     return out
 
 

@@ -271,7 +271,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar chunks of every chunk whose id is divisible by 100, among all chunks."""
-    near = nearest(_field(spark, folder, "vector"), 10, queries=lambda c: c % 100 == 0)
+    near = nearest(_field(spark, folder, "vector"), 10, queries=lambda c: c % 100 == 0, candidates=160, probes=24)
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbour"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
