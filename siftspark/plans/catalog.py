@@ -315,13 +315,13 @@ _FINAL = ", fn AS (SELECT *, row_number() OVER (PARTITION BY query_id, file ORDE
 
 @query(_FUSE + _FINAL + "SELECT query_id, file, line_start, position FROM fp")
 def per_file_cap(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.per_file_cap(_fused(spark, d), ["query_id"]).select("query_id", "file", "line_start", "position")
+    return fusion.per_file_cap(_fused(spark, d), ["query_id"]).select("query_id", "file", "line_start", F.col("position").cast("long").alias("position"))
 
 
 @query(_FUSE + _FINAL + ", fb AS (SELECT *, max(CAST(kind = 'def' AND position <= 2 AS INT)) OVER (PARTITION BY query_id) AS hd, min(CASE WHEN kind = 'def' THEN position END) OVER (PARTITION BY query_id) AS bd FROM fp) SELECT query_id, file, line_start, CASE WHEN hd = 0 AND position = bd THEN 2 WHEN hd = 0 AND bd IS NOT NULL AND position BETWEEN 2 AND bd - 1 THEN position + 1 ELSE position END AS position FROM fb")
 def definition_promotion(spark: SparkSession, d: str) -> DataFrame:
     placed = fusion.per_file_cap(_fused(spark, d), ["query_id"])
-    return fusion.promote_definition(placed, ["query_id"], 2).select("query_id", "file", "line_start", "position")
+    return fusion.promote_definition(placed, ["query_id"], 2).select("query_id", "file", "line_start", F.col("position").cast("long").alias("position"))
 
 
 @query(_FUSE + _FINAL + ", gd AS (SELECT DISTINCT query_id, file, line_start FROM h WHERE kind = 'def'), gn AS (SELECT query_id, count(*) AS n FROM gd GROUP BY query_id), gf AS (SELECT fp.query_id, min(position) AS first, sum(1.0 / log2(position + 1.0)) AS dcg, sum(CAST(position <= 5 AS INT)) AS r5 FROM fp JOIN gd USING (query_id, file, line_start) GROUP BY fp.query_id) SELECT gn.query_id, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(dcg / list_sum(list_transform(range(1, n + 1), lambda i: 1.0 / log2(i + 1.0))), 0), 6) AS ndcg, round(coalesce(r5::DOUBLE / n, 0), 6) AS recall_5 FROM gn LEFT JOIN gf USING (query_id)")
