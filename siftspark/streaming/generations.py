@@ -61,8 +61,11 @@ def upsert(old: DataFrame | None, new: DataFrame, gone: DataFrame | None = None)
         return new
     kept = old.join(new.select("path").distinct(), "path", "left_anti")
     if gone is not None:
-        above = F.col("path").startswith(F.concat(F.col("g"), F.lit("/"))) | (F.col("path") == F.col("g"))
-        kept = kept.join(F.broadcast(gone.select(F.col("path").alias("g")).limit(RESCAN)), above, "left_anti")
+        parts = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        below = kept.select("path").distinct().select("path", F.explode(above).alias("g"))
+        dropped = below.join(gone.select(F.col("path").alias("g")), "g", "left_semi").select("path").distinct()
+        kept = kept.join(dropped, "path", "left_anti")
     return kept.unionByName(new)
 
 
