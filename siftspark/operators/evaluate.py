@@ -33,3 +33,45 @@ def prevented_reads(hits: DataFrame, sizes: DataFrame, keys: list[str]) -> DataF
     files = hits.select(*keys, "file").distinct().join(sizes, "file").groupBy(*keys).agg(F.sum("bytes").alias("all"))
     shown = hits.groupBy(*keys).agg(F.sum(F.coalesce(F.octet_length("excerpt"), F.lit(0))).alias("shown"))
     return files.join(shown, keys).select(*keys, F.greatest(F.col("all") - F.col("shown"), F.lit(0)).cast("long").alias("prevented"))
+
+
+def pairwise_loss(weights: dict[str, float], judged: list[tuple[dict[str, int], dict[str, int]]], scale: float = 100.0) -> float:
+    """Mean logistic loss of judged pairs ``(better, worse)``, each the rank of an item by channel."""
+    from math import exp, log1p
+
+    score = lambda ranks: sum(weights.get(c, 1.0) / (61.0 + r) for c, r in ranks.items())
+    total = 0.0
+    for better, worse in judged:
+        d = scale * (score(better) - score(worse))
+        total += log1p(exp(-d)) if d > -30 else -d
+    return total / max(1, len(judged))
+
+
+def sensitivity(weights: dict[str, float], judged: list, step: float = 0.05) -> dict[str, tuple[float, float]]:
+    """Gradient and curvature of the loss by channel."""
+    at = pairwise_loss(weights, judged)
+    out = {}
+    for c in weights:
+        up, down = (pairwise_loss(weights | {c: weights[c] + s}, judged) for s in (step, -step))
+        out[c] = ((up - down) / (2 * step), (up - 2 * at + down) / step**2)
+    return out
+
+
+def learn_weights(weights: dict[str, float], judged: list, rounds: int = 64, step: float = 0.25, least: float = 1e-3) -> dict[str, float]:
+    """Coordinate search over the channels whose curvature matters, within 0.25 and 2."""
+    curve = sensitivity(weights, judged)
+    top = max((abs(c) for _, c in curve.values()), default=0.0)
+    stiff = [c for c, (_, k) in curve.items() if top and abs(k) >= 0.1 * top]
+    best, loss = dict(weights), pairwise_loss(weights, judged)
+    for _ in range(rounds):
+        better = False
+        for c in stiff:
+            for s in (step, -step):
+                trial = best | {c: min(2.0, max(0.25, best[c] + s))}
+                if (now := pairwise_loss(trial, judged)) < loss - 1e-12:
+                    best, loss, better = trial, now, True
+        if not better:
+            step /= 2
+            if step < least:
+                break
+    return best

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators import conjunction, evaluate, extract, fusion, graph, lexical, lexicon, symbols, text, vectors
+from siftspark.operators import chunks, conjunction, evaluate, extract, fusion, graph, lexical, lexicon, symbols, text, vectors
 from siftspark.plans import hybrid
 from siftspark.sources import facts
 from siftspark.sources.tables import table
@@ -534,6 +534,26 @@ def semantic_chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     return facts.chunks(spark, d).filter("kind IN ('function', 'method')").select("path", F.col("line_start").alias("line_no"), F.coalesce("doc", F.lit("")).alias("doc"), "scope")
 
 
+@query("SELECT chunk_id, CASE WHEN length(trim(symbol_name)) > 0 THEN symbol_name END AS name, CASE WHEN length(trim(doc)) > 0 THEN doc END AS docs, CASE WHEN length(trim(excerpt)) > 0 THEN excerpt END AS body FROM k")
+def chunk_fields(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.fields(facts.chunks(spark, d)).select("chunk_id", "name", "docs", "body")
+
+
+@query()
+def chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    return facts.chunks(spark, d).select("chunk_id", chunks.rendered().alias("text"))
+
+
+@query()
+def module_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.resolve_imports(symbols.import_edges(facts.lines(spark, d)), facts.files(spark, d))
+
+
+@query()
+def structure_hash(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.structure_hash(facts.symbols(spark, d).select("path", "name", "kind", "line_start", "line_end"))
+
+
 # --- incremental --------------------------------------------------------------------------
 
 _INC = """, o AS (SELECT path, content_hash FROM f WHERE file_id % 3 <> 0), nw AS (SELECT path, CASE WHEN file_id % 5 = 0 THEN content_hash || 'x' ELSE content_hash END AS content_hash FROM f)

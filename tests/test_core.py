@@ -164,3 +164,18 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "weighted_rrf" in e.queries()
+
+
+def test_chunks_and_modules(spark):
+    from siftspark.operators import chunks, evaluate
+
+    assert chunks.candidates("a/b/c.py", "..x", "python")[0] == "a/x.py" and "a/x.ts" in chunks.candidates("a/b.ts", "./x", "typescript")
+    edges = spark.createDataFrame([("a/b.ts", "typescript", 1, "./x"), ("a/b.ts", "typescript", 2, "react"), ("m.c", "c", 1, "h.h")], "path string, language string, line_no int, module string")
+    files = spark.createDataFrame([("a/x.tsx",), ("a/x/index.ts",), ("h.h",)], "path string")
+    assert sorted(tuple(r) for r in chunks.resolve_imports(edges, files).collect()) == [("a/b.ts", 1, "./x", "a/x.tsx"), ("m.c", 1, "h.h", "h.h")]
+    c = spark.createDataFrame([(1, "t/tests/x.py", "function", "f", "def f()", ["b", "a"], [], "", "C")], "chunk_id long, path string, kind string, symbol_name string, excerpt string, callers array<string>, callees array<string>, doc string, scope string")
+    assert c.select(chunks.rendered()).first()[0] == "excerpt: def f()\nsymbol: f\nkind: function\nscope: C\ncalled_by: a b"
+    assert tuple(chunks.fields(c).first()) == (1, "f", None, "def f()", "a b ", "def f()")
+    judged = [({"def": 0}, {"embed": 0})] * 3
+    learnt = evaluate.learn_weights({"def": 1.0, "embed": 1.0}, judged)
+    assert learnt["def"] > learnt["embed"] and evaluate.pairwise_loss(learnt, judged) < evaluate.pairwise_loss({"def": 1.0, "embed": 1.0}, judged)
