@@ -1,7 +1,8 @@
 """Problem 7: credentials embedded in source code.
 
 Each batch of lines is joined to one text and run once through an Aho-Corasick
-automaton of keywords (issuer prefixes, secret-like names, key marks). Only lines with
+automaton of keywords (issuer prefixes, secret-like names, key marks), as it is, without
+the separators of names and with its literals glued. Only lines with
 a hit are parsed: string literals are read (adjacent or concatenated ones as one),
 issuer-format expressions are applied and their structure is validated, and values of
 secret-like names are judged by shape. Found secrets are replaced by placeholders of
@@ -43,7 +44,9 @@ ISSUERS = (
     r"dop_v1_[a-f0-9]{64}",
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 )
-WORDS = ("akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "npm_", "aiza", "sg.", "hf_", "pypi-", "dop_v1_", "eyj", "private key", "pgp private", "://", "pass", "pwd", "secret", "token", "api", "key", "bearer", "credential", "basic ", " -u ", "--user")
+# What the automaton looks for: each expression below needs one of these in the line, as it is or
+# without the separators of its names (announces) or with its literals glued (see variants).
+WORDS = NAMES + ("akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "npm_", "aiza", "sg.", "hf_", "pypi-", "dop_v1_", "eyj", "private key", "://", "pass", "token", "key", "basic", "curl", "wget", "sig=", "login", "user", "cred")
 
 _ISSUER = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(ISSUERS) + ")")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -54,6 +57,7 @@ _BEARER = re.compile(r"(?i)\bBearer\s+([A-Za-z0-9._~+/-]{16,}=*)")
 _CURL = re.compile(r"(?:^|\s)(?:-u|--user)[ =]([^\s:\"'`]+):([^\s\"'`]+)")
 _QUERY = re.compile(r"(?i)[?&](?:[a-z_]*token|[a-z_]*key|password|secret|sig)=([^&\s\"'`#]+)")
 _STRING = re.compile(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^'\\]|\\.)*)'|`((?:[^`\\]|\\.)*)`")
+_JOINT = re.compile(r"[\"'`]\s*(?:[+.&]|\.\.|<>|,\s*\\)?\s*\\?\s*[\"'`]")
 _GLUE = re.compile(r"\s*(?:[+.,&]|\.\.|<>)?\s*(?:\\)?\s*\Z")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*")
 _BARE = re.compile(r"^[\s>|*#/;-]*(?:export\s+|set\s+|ENV\s+|run with\s+)?[`\"']?(?:--|-D)?([A-Za-z_][A-Za-z0-9_.-]*)[`\"']?\s*(?:=>|:=|=|:|\s)\s*(\S.*?)\s*[;,]?\s*$")
@@ -187,6 +191,18 @@ def mask(line: str, found: list[list[int]]) -> str:
     return "".join(out)
 
 
+def variants(line: str) -> list[str]:
+    """The line in lower case, without the separators of names, and with its literals glued."""
+    low = line.lower()
+    if not low.isascii():
+        low = low.replace("\u017f", "s").replace("\u0131", "i")  # expressions take these for s and i
+    bare = low.replace("_", "").replace("-", "").replace(".", "").replace("$", "")
+    out = [low] if len(bare) == len(low) else [low, bare]
+    if ("'" in low or '"' in low or "`" in low) and (_JOINT.search(low) or "concat!(" in low):
+        out.append(re.sub(r"[\"'`]\s*,\s*[\"'`]", "", _JOINT.sub("", low)) if "concat!(" in low else _JOINT.sub("", low))
+    return out
+
+
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for w in WORDS:
@@ -208,10 +224,14 @@ def find(lines: DataFrame, keys: list[str], content: str = "content") -> DataFra
         auto = _automaton()
         for f in frames:
             texts = f[content].tolist()
-            low = [t.lower() for t in texts]
+            owner, low = [], []
+            for i, t in enumerate(texts):
+                for v in variants(t):
+                    owner.append(i)
+                    low.append(v)
             starts = np.cumsum([0, *(len(t) + 1 for t in low)])[:-1]
             ends = np.fromiter((e for e, _ in auto.iter("\n".join(low))), np.int64)
-            hit, out = np.unique(np.searchsorted(starts, ends, "right") - 1), []
+            hit, out = np.unique(np.asarray(owner, np.int64)[np.searchsorted(starts, ends, "right") - 1]), []
             for i in hit.tolist():
                 if found := spans(texts[i]):
                     out.append((i, len(found), mask(texts[i], found)))
