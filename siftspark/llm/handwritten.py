@@ -1,6 +1,6 @@
 """Problem 3: generated, minified, vendored and data files among source files.
 
-1. Inverted index of rare line hashes: the lines of a file are hashed; a line that few
+1. Inverted index of line hashes: the lines of a file are hashed; a line that several
    files hold belongs to the oldest of them (its owner). Every other holder of another
    repository gives one vote (file, owner), so the index yields as many rows as it has
    entries, never the pairs of a posting list. The owner with most votes is then compared
@@ -41,14 +41,14 @@ def _path(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"^\./", "")
 
 
-def classify(files: DataFrame, lines: DataFrame, containment: float = 0.8, min_lines: int = 8, rare_share: float = 0.01) -> DataFrame:
+def classify(files: DataFrame, lines: DataFrame, containment: float = 0.8, min_lines: int = 8) -> DataFrame:
     """``file_id, kind, copied_from, share`` for each file that no one wrote by hand.
 
     ``kind`` is the first that holds of generated, minified, data, vendored and copied. Files
     without a source extension give no row. A file delivered twice counts once (its latest
     delivery), a line delivered twice once; null contents count as empty, null paths or ids
-    give no row; files without lines are judged by path alone. A line is rare if at most
-    50 files, or ``rare_share`` of all files, hold it. Empty tables give an empty result.
+    give no row; files without lines are judged by path alone. Empty tables give an empty
+    result.
     """
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     newest = F.max(F.struct("indexed_at", "path", "repo", "mtime")).alias("f")
@@ -89,11 +89,10 @@ def classify(files: DataFrame, lines: DataFrame, containment: float = 0.8, min_l
         .when(in_vendor | F.coalesce(leads("tp_at"), no), "vendored")
     )
     judged = checkpoint(file.join(per, "file_id", "left").withColumn("kind", kind).select("file_id", "repo", "mtime", "kind"))
-    # the index of rare lines, over all files: a copy's source may itself be generated or vendored
+    # the index of lines, over all files: a copy's source may itself be generated or vendored
     entry = lean.filter("h IS NOT NULL").select("file_id", "h").distinct().join(judged.select("file_id", "repo", "mtime", "kind"), "file_id")
-    rare = F.greatest(F.lit(50), (F.lit(rare_share) * F.lit(judged.count())).cast("long"))
     owner = entry.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("mtime", "file_id", "repo")).alias("o"))
-    owner = owner.filter((F.col("df") >= 2) & (F.col("df") <= rare)).select("h", F.col("o.file_id").alias("owner"), F.col("o.repo").alias("owner_repo"))
+    owner = owner.filter(F.col("df") >= 2).select("h", F.col("o.file_id").alias("owner"), F.col("o.repo").alias("owner_repo"))
     votes = entry.filter("kind IS NULL").join(owner, "h").filter(~F.col("repo").eqNullSafe(F.col("owner_repo"))).groupBy("file_id", "owner").agg(F.count("*").alias("votes"))
     sizes = entry.filter("kind IS NULL").groupBy("file_id").agg(F.count("*").alias("size"))
     best = votes.filter(F.col("votes") >= min_lines / 2).groupBy("file_id").agg(F.max(F.struct("votes", "owner")).alias("b")).select("file_id", "b.owner")

@@ -92,6 +92,12 @@ def test_handwritten(spark):
     assert handwritten.classify(f.limit(0), lines.limit(0)).count() == 0
 
 
+def test_copies_in_many_files(spark):
+    own = "\n".join(f"    value_{i} = compute_something_{i}(argument, {i * 37 % 101})" for i in range(12))
+    f, lines = _corpus(spark, [(i, f"r{i}", f"r{i}/x.py", None, own) for i in range(1, 61)])
+    assert rows(handwritten.classify(f, lines).select("file_id", "kind", "copied_from")) == [(i, "copied", 1) for i in range(2, 61)]
+
+
 # --- 4 ----------------------------------------------------------------------------------------
 
 
