@@ -3,9 +3,11 @@
 1. Inverted index of line hashes: the lines of a file are hashed; a line that several
    files hold belongs to the oldest of them (its owner). Every other holder of another
    repository gives one vote (file, owner), so the index yields as many rows as it has
-   entries, never the pairs of a posting list. The owner with most votes is then compared
+   entries, never the pairs of a posting list. Owners with enough votes are compared
    exactly: the share of the file's distinct lines that the owner holds. A share of
-   ``containment`` or more makes the file a copy of it, local edits included.
+   ``containment`` or more makes the file a copy of it, local edits included. Files of
+   equal lines count as one set. Files that the owners leave open are compared with every
+   older set that holds one of their rarest lines (prefix filter), so no copy is lost.
 2. Token composition of the remaining files, from sums over their lines: marks in the
    leading comment, share of encoded data, of text in over-long lines without blanks,
    of numbered stubs, and the folders and suffixes of the path.
@@ -16,7 +18,7 @@ are built in; nothing is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftspark.session import checkpoint
@@ -91,15 +93,52 @@ def classify(files: DataFrame, lines: DataFrame, containment: float = 0.8, min_l
     judged = checkpoint(file.join(per, "file_id", "left").withColumn("kind", kind).select("file_id", "repo", "mtime", "kind"))
     # the index of lines, over all files: a copy's source may itself be generated or vendored
     entry = lean.filter("h IS NOT NULL").select("file_id", "h").distinct().join(judged.select("file_id", "repo", "mtime", "kind"), "file_id")
+    entry = checkpoint(entry)
     owner = entry.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("mtime", "file_id", "repo")).alias("o"))
     owner = owner.filter(F.col("df") >= 2).select("h", F.col("o.file_id").alias("owner"), F.col("o.repo").alias("owner_repo"))
-    votes = entry.filter("kind IS NULL").join(owner, "h").filter(~F.col("repo").eqNullSafe(F.col("owner_repo"))).groupBy("file_id", "owner").agg(F.count("*").alias("votes"))
-    sizes = entry.filter("kind IS NULL").groupBy("file_id").agg(F.count("*").alias("size"))
-    best = votes.filter(F.col("votes") >= min_lines / 2).groupBy("file_id").agg(F.max(F.struct("votes", "owner")).alias("b")).select("file_id", "b.owner")
-    best = best.join(sizes.filter(F.col("size") >= min_lines), "file_id")
-    own = best.join(entry.select("file_id", "h"), "file_id")
+    sizes = entry.groupBy("file_id", "repo", "mtime", "kind").agg(F.count("*").alias("size"), F.expr("bit_xor(h)").alias("x"), F.expr("bit_xor(xxhash64(h, 1))").alias("y"))
+    sizes = checkpoint(sizes)
+    # files of equal lines are one set, named after its oldest file; ``first`` and ``second`` are the oldest of two repositories
+    holder = sizes.groupBy("size", "x", "y", "repo").agg(F.min(F.struct("mtime", "file_id", "repo")).alias("m"))
+    nth = F.row_number().over(Window.partitionBy("size", "x", "y").orderBy("m"))
+    sets = holder.withColumn("r", nth).filter("r <= 2").groupBy("size", "x", "y").agg(F.min("m").alias("first"), F.max("m").alias("second"))
+    sets = checkpoint(sets.select(F.col("first.file_id").alias("set"), "size", "x", "y", "first", "second"))
+    member = sizes.filter(F.col("kind").isNull() & (F.col("size") >= min_lines)).join(sets, ["size", "x", "y"]).select("file_id", "repo", "mtime", "size", "set", "first", "second")
+    older = lambda c: F.struct(c["mtime"].alias("mtime"), c["file_id"].alias("file_id")) < F.struct("mtime", "file_id")
+    source = F.when(F.col("first.repo").eqNullSafe(F.col("repo")), F.col("second")).otherwise(F.col("first"))
+
+    def from_sets(pairs: DataFrame) -> DataFrame:
+        """``file_id, owner, share`` of the files whose set is held by an older file of another repository."""
+        found = pairs.withColumn("source", source)
+        return found.filter(~F.col("source.repo").eqNullSafe(F.col("repo")) & older(F.col("source"))).select("file_id", F.col("source.file_id").alias("owner"), "share")
+
+    same = from_sets(member.withColumn("share", F.lit(1.0)))
+    # owners of a share of the lines that the copy may lack (at most 1 / (1 - containment) of them)
+    left = checkpoint(member.join(same, "file_id", "left_anti"))
+    mine = left.select("file_id", "repo", "size").join(entry.select("file_id", "h"), "file_id")
+    votes = mine.join(owner, "h").filter(~F.col("repo").eqNullSafe(F.col("owner_repo"))).groupBy("file_id", "size", "owner").agg(F.count("*").alias("votes"))
+    own = votes.filter(F.col("votes") >= (1 - containment) * F.col("size")).join(entry.select("file_id", "h"), "file_id")
     held = own.join(entry.select(F.col("file_id").alias("owner"), "h"), ["owner", "h"], "left_semi").groupBy("file_id", "owner").agg((F.count("*") / F.max("size")).alias("share"))
-    copied = held.filter(F.col("share") >= containment).select("file_id", F.col("owner").alias("copied_from"), F.round("share", 6).alias("share"))
+    star = checkpoint(held.filter(F.col("share") >= containment))
+    # what is still open, exactly: a set that holds the share holds one of the rarest lines, size - share + 1 of them
+    left = checkpoint(left.join(star, "file_id", "left_anti"))
+    line = entry.join(sets.select(F.col("set").alias("file_id")), "file_id", "left_semi").select(F.col("file_id").alias("set"), "h")
+    shared = line.groupBy("h").agg(F.count("*").alias("df")).filter("df >= 2")
+    newest = left.groupBy("set", "size").agg(F.max(F.struct("mtime", "file_id")).alias("newest"))
+    ranked = line.join(newest, "set").join(shared, "h")
+    # lines of no other set are the rarest, so the others rank after them
+    by_set = Window.partitionBy("set")
+    alone = F.col("size") - F.count("*").over(by_set)
+    place = F.row_number().over(by_set.orderBy("df", "h"))
+    least = F.floor(F.lit(containment) * F.col("size"))
+    prefix = ranked.select("set", "size", "newest", "h", (place + alone).alias("r")).filter(F.col("r") <= F.col("size") - least + 1)
+    other = line.join(sets.select("set", F.col("size").alias("other_size"), F.struct("first.mtime", "first.file_id").alias("age")), "set").select(F.col("set").alias("other"), "h", "other_size", "age")
+    near = prefix.join(other, "h").filter((F.col("set") != F.col("other")) & (F.col("other_size") >= least) & (F.col("age") < F.col("newest"))).select("set", "size", "other").distinct()
+    both = near.join(line, "set").join(line.select(F.col("set").alias("other"), "h"), ["other", "h"], "left_semi").groupBy("set", "other").agg((F.count("*") / F.max("size")).alias("share"))
+    both = both.filter(F.col("share") >= containment).join(sets.select(F.col("set").alias("other"), "first", "second"), "other")
+    exact = from_sets(left.select("file_id", "repo", "mtime", "set").join(both, "set"))
+    best = same.unionByName(star.select("file_id", "owner", "share")).unionByName(exact).groupBy("file_id").agg(F.max(F.struct("share", (-F.col("owner")).alias("o"), "owner")).alias("b"))
+    copied = best.select("file_id", F.col("b.owner").alias("copied_from"), F.round("b.share", 6).alias("share"))
     out = judged.select("file_id", "kind").join(copied, "file_id", "left").withColumn("kind", F.coalesce("kind", F.when(F.col("share").isNotNull(), F.lit("copied"))))
     return out.filter("kind IS NOT NULL").select("file_id", "kind", "copied_from", "share")
 

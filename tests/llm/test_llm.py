@@ -98,6 +98,21 @@ def test_copies_in_many_files(spark):
     assert rows(handwritten.classify(f, lines).select("file_id", "kind", "copied_from")) == [(i, "copied", 1) for i in range(2, 61)]
 
 
+def test_copies_of_a_later_version(spark):
+    line = lambda k, i: f"    {k}_{i} = compute_something_{i}(argument, {i * 37 % 101})"
+    text = lambda *parts: "\n".join(line(k, i) for k, n in parts for i in range(n))
+    mixed = [(20 + k, f"o{k}", f"o{k}/x.py", None, text((f"part{k}", 3), (f"own{k}", 20))) for k in range(10)]
+    files = [
+        (1, "a", "a/v1.py", None, text(("old", 21))), (2, "a", "a/v2.py", None, text(("old", 21), ("new", 9))),
+        (3, "b", "b/c.py", None, text(("old", 21), ("new", 9))), (4, "c", "c/c.py", None, text(("old", 21), ("new", 8), ("edit", 1))),
+        (5, "d", "d/most.py", None, text(("old", 14), ("mine", 8))), *mixed,
+        (40, "p", "p/all.py", None, text(*[(f"part{k}", 3) for k in range(10)])), (41, "q", "q/all.py", None, text(*[(f"part{k}", 3) for k in range(10)], ("edit", 2))),
+    ]
+    f, lines = _corpus(spark, files)
+    got = {r.file_id: (r.copied_from, r.share) for r in handwritten.classify(f, lines).collect()}
+    assert got == {3: (2, 1.0), 4: (2, round(29 / 30, 6)), 41: (40, 0.9375)}
+
+
 # --- 4 ----------------------------------------------------------------------------------------
 
 
