@@ -67,6 +67,14 @@ def test_enrichment(spark):
     assert distinctive.enrichment(counts.limit(0)).count() == 0
 
 
+def test_repeated_terms_of_no_score(spark, tmp_path):
+    data = [(1, 1, "alpha alpha alpha alpha"), (2, 1, "alpha")]
+    spark.createDataFrame(data, "file_id long, line_no int, content string").write.parquet(f"{tmp_path}/source_lines.parquet")
+    names = [(i, 1 if i < 3 else 2, "Name") for i in range(4)]
+    spark.createDataFrame(names, "symbol_id long, file_id long, name string").write.parquet(f"{tmp_path}/symbols.parquet")
+    assert rows(distinctive.p2_found(spark, str(tmp_path))) == [("content", 1, "alpha"), ("name", 1, "name")]
+
+
 # --- 3 ----------------------------------------------------------------------------------------
 
 
