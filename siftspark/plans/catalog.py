@@ -480,7 +480,8 @@ def conceptual_fanout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.search("retry window kept", facts.lines(spark, d), facts.symbols(spark, d), facts.calls(spark, d))
+    texts = facts.chunks(spark, d).select("path", "line_start", "line_end", "symbol_name", chunks.rendered().alias("text"))
+    return hybrid.search("retry window kept", facts.lines(spark, d), facts.symbols(spark, d), facts.calls(spark, d), texts, associations=_associations(spark, d))
 
 
 # --- inverted file of vectors -------------------------------------------------------------

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.operators import fusion, symbols, text, vectors
+from siftspark.operators import fusion, lexicon, symbols, text, vectors
 from siftspark.plans.query import Query, limit, parse, primary_symbol, term_signatures
 
 LINES_PER_TERM, FILES, FANOUT, PARENTS = 100, 100, 16, 4
@@ -61,10 +61,15 @@ def working_files(lexical: DataFrame, structure: DataFrame) -> DataFrame:
     return narrow.unionByName(wide)
 
 
-def semantic(chunk_vectors: DataFrame, files: DataFrame, query: Query, pool: int) -> DataFrame:
-    """Embedding hits inside the given files: chunks ranked by similarity and grouped to their parents."""
-    vector = vectors.embed_text(query.target)
+def semantic(chunk_vectors: DataFrame, files: DataFrame, query: Query, pool: int, more: list[str] | None = None) -> DataFrame:
+    """Embedding hits inside the given files: chunks ranked by similarity and grouped to their parents.
+
+    ``more`` terms widen the query. Without a column ``vector`` the texts in the files are embedded.
+    """
+    vector = vectors.embed_text(" ".join([query.target, *(more or [])]))
     rows = chunk_vectors.join(F.broadcast(files.select(F.col("file").alias("path"))), "path", "left_semi")
+    if "vector" not in rows.columns:
+        rows = rows.withColumn("vector", vectors.embed_hashed("text"))
     q = F.array(*[F.lit(float(x)) for x in vector])
     ranked = rows.select("path", "line_start", "line_end", "symbol_name", "text", vectors.cosine(F.col("vector"), q).alias("sim")).filter(F.col("sim") > vectors.MIN_SIMILARITY)
     best = vectors.parents(ranked, ["path", "line_start", "line_end", "symbol_name"], "text")
@@ -79,18 +84,26 @@ def fanout(embed: DataFrame, calls: DataFrame) -> DataFrame:
     return rows.withColumn("r", nth).filter(F.col("r") <= FANOUT).select(F.lit("graph").alias("kind"), F.col("path").alias("file"), F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.col("callee").alias("symbol"), F.lit(symbols.GRAPH).alias("score"))
 
 
-def search(raw: str, lines: DataFrame, symbol_rows: DataFrame, calls: DataFrame, chunk_vectors: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """Free-text search as one plan: ``position, file, line_start, kind, score, contributors, critic``."""
+def search(raw: str, lines: DataFrame, symbol_rows: DataFrame, calls: DataFrame, chunk_vectors: DataFrame | None = None, most: int | None = None, associations: DataFrame | None = None) -> DataFrame:
+    """Free-text search as one plan: ``position, file, line_start, kind, score, contributors, critic``.
+
+    ``associations`` give a conceptual query up to five related terms; they widen the candidate
+    files and the semantic query only.
+    """
     query, keep = parse(raw), limit(most)
     terms = sorted(query.terms, key=lambda t: (-len(t), t))
-    evidence = prefilter(lines, terms)
-    files = top_files(evidence)
+    more = []
+    if associations is not None and chunk_vectors is not None and query.intent == "conceptual":
+        more = [r["related"] for r in lexicon.expand(associations, [t.lower() for t in terms]).collect()]
+    candidates = prefilter(lines, terms + more)
+    evidence = candidates.filter(F.col("term").isin(terms))
+    files = top_files(candidates)
     structure = structural(symbol_rows, calls, files, query)
     working = working_files(files, structure)
     lexical = evidence.join(F.broadcast(working), "file", "left_semi").select(F.lit("asgrep").alias("kind"), "file", "line_start", F.col("line_start").alias("line_end"), F.lit(None).cast("string").alias("symbol"), "score")
     found = [lexical, structure]
     if chunk_vectors is not None:
-        found.append(semantic(chunk_vectors, working, query, keep))
+        found.append(semantic(chunk_vectors, working, query, keep, more))
         if query.intent == "conceptual":
             found.append(fanout(found[-1], calls))
     hits = fusion.union(*found).withColumn("score", fusion.normalise(F.col("score"), F.col("kind"), len(terms)))

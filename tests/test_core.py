@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.prefix import prefix_sums, salted_rank
 from siftspark.operators import conjunction, extract, fusion, graph, lexical, lexicon, symbols, text, vectors
-from siftspark.plans import hybrid, planner
+from siftspark.plans import catalog, hybrid, planner
 from siftspark.plans import query as q
 from siftspark.sources import corpus
 from siftspark.streaming import generations
@@ -138,6 +138,11 @@ def test_hybrid(spark):
     assert (top.file, top.line_start, top.kind, top.position) == ("a.py", 1, "def", 1)
 
 
+def test_hybrid_search_runs_the_semantic_stage(spark):
+    found = catalog.hybrid_search(spark, "/root/testdata/sf0.001").collect()
+    assert any("embed" in r.contributors for r in found)
+
+
 def test_text_units():
     assert [lexical.stem(w) for w in ("caresses", "running", "relational")] == ["caress", "run", "relat"]
     v = vectors.embed_text("store the session")
