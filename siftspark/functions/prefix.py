@@ -55,3 +55,25 @@ def salted_rank(df: DataFrame, key: str, order: str, per_task: int, counts: dict
     ranked = salted.withColumn("__local", local)
     joined = ranked.join(shift, (F.col(key) == F.col("__k")) & (F.col("__salt") == F.col("__s")))
     return joined.select(*df.columns, (F.col("__local") + F.col("__shift")).cast("long").alias("rank"))
+
+
+def crowded(df: DataFrame, group: list[str], per_task: int) -> DataFrame | None:
+    """The groups of more than ``per_task`` rows (at most rows / ``per_task`` of them), or None if there is none."""
+    big = checkpoint(df.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > per_task).select(*group))
+    return None if big.isEmpty() else big
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str, per_task: int = 200_000) -> DataFrame:
+    """Add ``name``: the number of the row, from 1, within its group in the given order.
+
+    Groups are numbered by a window each; those of more than ``per_task`` rows by distributed
+    prefix sums, so none has to fit a task. ``group + order`` must identify a row.
+    """
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")
+    big = crowded(df, group, per_task)
+    if big is None:
+        return df.withColumn(name, number)
+    same = [df[c].eqNullSafe(big[c]) for c in group]
+    few = df.join(big, same, "left_anti").withColumn(name, number)
+    many = prefix_sums(df.join(big, same, "left_semi"), group, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast("long"))
+    return few.unionByName(many)
