@@ -121,8 +121,25 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packed.groupBy("container").agg(F.max("room").alias("room"), piece.alias("pieces"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_containers": p8_containers}
+def p8_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """What the packing must keep: per document its tokens and pieces, all in containers within capacity.
+
+    ``container_tokens`` is what the document's containers hold at most; ``containers`` is the
+    number of containers in all, which the SQL gives as the least possible number.
+    """
+    packed = pack(table(spark, folder, "documents"))
+    used = packed.groupBy("container").agg(F.sum("tokens").alias("used"), F.max("room").alias("room"))
+    good = used.agg(F.count("*").alias("containers"), F.sum((F.col("used") + F.col("room") != CAPACITY).cast("long")).alias("unbalanced"), F.max(F.col("used") <= CAPACITY).alias("within"))
+    each = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.max("token_to").alias("token_to"))
+    return each.crossJoin(F.broadcast(good))
+
+
+QUERIES = {"p8_found": p8_found, "p8_containers": p8_containers, "p8_balance": p8_balance}
 SQL = {
+    "p8_balance": r"""
+WITH t AS (SELECT doc_id, max(len(regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s\p{Z}\x0B\x85]+'))) AS tokens FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, tokens::BIGINT AS tokens, ceil(tokens / 512.0)::BIGINT AS pieces, tokens::BIGINT AS token_to, (SELECT (sum(tokens // 512) + ceil(sum(tokens % 512) / 512.0))::BIGINT FROM t) AS containers, 0::BIGINT AS unbalanced, true AS within
+FROM t WHERE tokens > 0""",
     "p8_found": r"""
 SELECT DISTINCT doc_id FROM documents
 WHERE len(regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s]+')) > 512""",

@@ -137,6 +137,15 @@ def test_net_flow_matches_pairs(spark):
         d = np.clip((pct[:, None] - pct[None, :]) / outranking.THRESHOLD, 0, 1)
         want += (d.sum(1) - d.sum(0)) / 39 / 2
     assert max(abs(got[1, i].flow - want[i]) for i in range(40)) < 1e-6
+    order = sorted(range(40), key=lambda i: (-got[1, i].flow, i))
+    assert [got[1, i].rank for i in order] == list(range(1, 41))
+    data += [(3, i, "a", float(i % 7), 2.0, "") for i in range(9)]
+    df = spark.createDataFrame(data, "g long, i long, criterion string, value double, weight double, flow string")
+    spread = outranking.net_flow(df, ["g"], ["i"], per_task=20)  # group 1 by prefix sums, the others by windows
+    assert rows(spread) == rows(outranking.net_flow(df, ["g"], ["i"])) and spread.count() == 50
+    for per_task in (20, 1000):
+        first = sorted(outranking.leaders_first(spread, ["g"], per_task).collect(), key=lambda r: (r.g, r["rank"]))
+        assert [r["rank"] for r in first] == [*range(1, 41), 1, *range(1, 10)] and [r.led * 2 <= r.criteria for r in first[:40]] == sorted(r.led * 2 <= r.criteria for r in first[:40])
     assert outranking.net_flow(spark.createDataFrame([], "g long, i long, criterion string, value double, weight double"), ["g"], ["i"]).count() == 0
 
 
