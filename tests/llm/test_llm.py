@@ -259,6 +259,44 @@ def test_leaks(spark):
     assert leaks.leaks(d, items.limit(0)).count() == 0 and leaks.leaks(d.limit(0), items).count() == 0
 
 
+def _edits(x, s):
+    """The least number of edits between ``x`` and any part of ``s``."""
+    col = list(range(len(x) + 1))
+    best = col[-1]
+    for c in s:
+        last, col[0] = col[0], 0
+        for i, d in enumerate(x, 1):
+            last, col[i] = col[i], min(col[i] + 1, col[i - 1] + 1, last + (c != d))
+        best = min(best, col[-1])
+    return best
+
+
+def test_near_leaks_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(2, 8, 60)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, text(int(n))) for i, n in enumerate(rng.integers(8, 30, 12))]
+    docs = []
+    for i in range(40):
+        parts = items[i % 12][1].split(" ")
+        at = int(rng.integers(0, max(1, len(parts) - 10)))
+        passage = list(" ".join(parts[at : at + int(rng.integers(9, 14))]))
+        for _ in range(i % 5):  # up to four edits
+            k = int(rng.integers(0, len(passage)))
+            passage[k : k + 1] = [[], ["z"], [passage[k], "y"]][int(rng.integers(0, 3))]
+        docs.append((i, f"{text(int(rng.integers(0, 40)))} {''.join(passage)} {text(5)}"))
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for e, q in ((0, 14), (1, 10), (2, 8)):
+        want = set()
+        for j, t in items:
+            w = t.split(" ")
+            runs = [" ".join(w[k : k + 10]) for k in range(len(w) - 9)]
+            for i, s in docs:
+                if any(f" {r} " in f" {s} " if not e else _edits(r, " ".join(leaks.words(s))) <= e for r in runs):
+                    want.add((i, j))
+        assert set(rows(leaks.leaks(d, it, edits=e, q=q))) == want and len(want) > 5
+
+
 # --- 10 ---------------------------------------------------------------------------------------
 
 TEXTS = [
