@@ -2,9 +2,11 @@
 
 The signature of a function is found by regular expressions over its first lines, its
 body is delimited by a stack (indentation, braces or end keywords, as the language has
-it), and comments are attached by line distance: those of the ``doc`` column, those
-directly above the signature in the excerpt, and the first string or block comment of
-the body when nothing but blank lines is between it and the signature. The attached text is cleaned
+it); what stands from the signature to the body's end is the code of the pair. Comments
+are attached by line distance: those of the ``doc`` column, those at most one blank line
+above the signature in the excerpt, and the first string or block comment of the body when
+nothing but blank lines is between it and the signature's last line, however long the
+signature is. The attached text is cleaned
 of comment marks and judged sentence by sentence; a pair is kept if anything remains
 that is not a placeholder, the mere name, a rule, a tool mark, a tag without text,
 disabled code or a licence notice.
@@ -46,6 +48,7 @@ _INHERIT = re.compile(r"(?i)\{?@?inherit-?doc\}?|\(non-javadoc\)")
 _CODE = re.compile(r"[;{}]\s*$|^\s*(?:return|if|for|while|else|elif|try|except|import|from|let|var|const|def|fn|func|raise|throw|print|log\.\w+)\b.*(?:[;:{}()=]|\[\d)|^\s*[\w.$]+\s*(?:\+|-|\*|/)?=\s*\S|^\s*[\w.]+\([^)]*\)(?:\[\d+\])?\s*;?\s*$|^\s*return\s+[\w.]+;?\s*$|=>\s*$|^\s*(?:break|continue|pass)\s*;?\s*$|^\s*\$\w+")
 _RULE = re.compile(r"^[\W_]*$", re.UNICODE)
 _WORD = re.compile(r"[^\W\d_]+")
+_PLAIN_WORD = re.compile(r"(?<!\S)[\"'(]?[^\W\d_]+[\"')]?[,.;:!?]?(?!\S)")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+")
 
 
@@ -63,10 +66,12 @@ def body(lines: list[str], at: int) -> int:
                 if depth <= 0:
                     return i + 1
             return len(lines)
-        return next((i for i in block if len(lines[i]) - len(lines[i].lstrip()) <= pad and not re.match(r"^\s*[)\]}]", lines[i])), len(lines))
+        head_end = signature_end(lines, at, len(lines))
+        return next((i for i in block if i >= head_end and len(lines[i]) - len(lines[i].lstrip()) <= pad), len(lines))
     depth, seen = 0, False
+    text = re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)", lambda m: "\n" * m.group().count("\n"), "\n".join(lines[at:])).split("\n")
     for i in range(at, len(lines)):
-        for c in re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|//.*", "", lines[i]):
+        for c in text[i - at]:
             if c == "{":
                 depth, seen = depth + 1, True
             elif c == "}":
@@ -76,11 +81,34 @@ def body(lines: list[str], at: int) -> int:
     return len(lines)
 
 
+def signature(lines: list[str]) -> int | None:
+    """The line of the first signature, behind comments and marks."""
+    return next((i for i, x in enumerate(lines) if x.strip() and not _COMMENT.match(x) and not _SKIP.match(x) and SIGNATURE.match(x)), None)
+
+
+def signature_end(lines: list[str], at: int, end: int) -> int:
+    """The line after the signature that begins at ``at``: where its brackets are closed."""
+    depth = 0
+    for k in range(at, end):
+        code = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "", lines[k])
+        depth += sum(code.count(c) for c in "([") - sum(code.count(c) for c in ")]")
+        if depth <= 0:
+            return k + 1
+    return end
+
+
+def code_of(excerpt: str | None) -> str | None:
+    """The function alone: from its signature to the end of its body (the excerpt where no signature is seen)."""
+    lines = re.split(r"\r\n|\r|\n", excerpt or "")
+    at = signature(lines)
+    return excerpt if at is None else "\n".join(lines[at : max(body(lines, at), signature_end(lines, at, len(lines)))]).rstrip()
+
+
 def attached(doc: str | None, excerpt: str | None) -> str:
     """The documentation text of a definition: above it, and inside it."""
     parts = [doc] if doc and doc.strip() else []
     lines = re.split(r"\r\n|\r|\n", excerpt or "")
-    at = next((i for i, x in enumerate(lines) if x.strip() and not _COMMENT.match(x) and not _SKIP.match(x) and SIGNATURE.match(x)), None)
+    at = signature(lines)
     if at is None:
         return "\n".join(parts)
     above, i = [], at - 1
@@ -90,17 +118,10 @@ def attached(doc: str | None, excerpt: str | None) -> str:
         i -= 1
     if above:
         parts.append("\n".join(reversed(above)))
-    end, depth, first = body(lines, at), 0, at
-    for first in range(at, end):  # the signature may span lines
-        code = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "", lines[first])
-        depth += sum(code.count(c) for c in "([") - sum(code.count(c) for c in ")]")
-        if depth <= 0:
-            break
-    first += 1
+    end = max(body(lines, at), signature_end(lines, at, len(lines)))
+    first = signature_end(lines, at, end)
     while first < end and (not lines[first].strip() or lines[first].strip() == "{"):
         first += 1
-        if first - at > 6:
-            return "\n".join(parts)
     if first >= end:
         return "\n".join(parts)
     if m := _TRIPLE.match(lines[first]):
@@ -148,7 +169,7 @@ def tells(text: str, name: str | None = None) -> str:
         bare = u.strip(" .:;!-*#/\"'`")
         if _PLACE.match(bare):
             continue
-        if _CODE.search(u) and not (len(_WORD.findall(u)) >= 5 and u[-1:] not in "{};"):
+        if _CODE.search(u) and not (len(_PLAIN_WORD.findall(u)) >= 5 and u[-1:] not in "{};"):
             continue
         if m := _MARK.match(u):  # an open task is no description
             continue
@@ -181,6 +202,8 @@ def tells(text: str, name: str | None = None) -> str:
 def pairs(chunks: DataFrame) -> DataFrame:
     """Functions and methods with a description: ``chunk_id, symbol_name, code, description``.
 
+    ``code`` is the function from its signature to the end of its body, without what the
+    excerpt holds around it.
     Chunks of other kinds, with a null id, or without any description give no row; a chunk
     delivered twice gives one. Null excerpts, names and docs are allowed. Extra columns are
     ignored; an empty table gives an empty result; excerpts are read whole.
@@ -191,6 +214,7 @@ def pairs(chunks: DataFrame) -> DataFrame:
             said = [tells(attached(d, e), n) for d, e, n in zip(f["doc"], f["excerpt"], f["symbol_name"])]
             out = pd.DataFrame({"chunk_id": f["chunk_id"], "symbol_name": f["symbol_name"], "code": f["excerpt"], "description": said})
             out = out[out["description"] != ""]
+            out["code"] = [code_of(e) for e in out["code"]]
             if len(out):
                 yield out
 

@@ -192,7 +192,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
     if r[0] is None:
         return spark.createDataFrame([], f"{key} {key_type}, {item_key} {item_type}")
     q = max(1, min(q, r[0] // (edits + 1)))
-    least, width, band = max(1, r[0] + 1 - q * (edits + 1)), r[1] + edits, max(2 * edits, 16)
+    # a passage holds a part as long as the shortest window, in which at least ``least`` of ``tight`` positions pass
+    least, tight, width, band = max(1, r[0] + 1 - q * (edits + 1)), r[0] + edits - q + 1, r[1] + edits, max(2 * edits, 16)
     bits = int(min(MAX_BITS, max(16, np.ceil(np.log2(16 * r[2])))))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +225,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
         starts = np.cumsum([0, *(len(t) + q for t in texts)])[:-1]
         h = _hashes(("\x00" * q).join(texts), q)
         at = np.flatnonzero(passes[_bit(h, bits)])
-        at = at[stretches(at, width, least)]
+        at = at[stretches(at, tight, least)]
         if not len(at):
             return
         doc = np.searchsorted(starts, at, "right") - 1
