@@ -90,10 +90,28 @@ def porter(terms: pd.Series) -> pd.Series:
 
 
 def postings(lines: DataFrame, analyzer=code_terms) -> DataFrame:
-    """``term, path, line_no, tf, dl``: the inverted index; dl is the line's number of terms."""
-    terms = analyzer(F.col("content"))
-    rows = lines.select("path", "line_no", F.size(terms).alias("dl"), F.explode(terms).alias("term"))
-    return rows.groupBy("term", "path", "line_no", "dl").agg(F.count("*").alias("tf"))
+    """``term, path, line_no, tf, dl``: the inverted index; dl is the line's number of terms.
+
+    A line is one row, so its terms are counted within it (sorted, the length of each run) and
+    given out once: no shuffle.
+    """
+    rows = lines.select("path", "line_no", F.array_sort(analyzer(F.col("content"))).alias("t")).withColumn("dl", F.size("t"))
+    firsts = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    rows = rows.filter("dl > 0").withColumn("at", firsts)
+    ends = F.concat(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.col("dl") + 1))
+    runs = F.zip_with("at", ends, lambda a, b: F.struct(F.element_at(F.col("t"), a).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.select("path", "line_no", "dl", F.inline(runs)).select("term", "path", "line_no", "dl", "tf")
+
+
+def statistics(lines: DataFrame, analyzer=code_terms) -> DataFrame:
+    """One row ``n, avgdl``: the number of lines and their mean number of terms."""
+    return lines.select(F.size(analyzer(F.col("content"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def bm25_indexed(index: DataFrame, stats: DataFrame, terms: list[str], limit: int = 100) -> DataFrame:
+    """``bm25`` from published postings and statistics: only the query's terms are read, no text."""
+    match = index.filter(F.col("term").isin(*sorted(set(terms))))
+    return _best(match, stats, limit)
 
 
 def bm25(lines: DataFrame, terms: list[str], limit: int = 100, analyzer=code_terms) -> DataFrame:
@@ -106,6 +124,10 @@ def bm25(lines: DataFrame, terms: list[str], limit: int = 100, analyzer=code_ter
     sized = lines.select("path", "line_no", all_terms.alias("t")).select("path", "line_no", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains(query, x)).alias("q"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     match = sized.filter(F.size("q") > 0).select("path", "line_no", "dl", F.explode("q").alias("term")).groupBy("path", "line_no", "dl", "term").agg(F.count("*").alias("tf"))
+    return _best(match, stats, limit)
+
+
+def _best(match: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
     df = match.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -511,8 +511,7 @@ def ivf_probe_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "content"))), lambda x: x.content), "\n")
-    return facts.lines(spark, d).groupBy("path", "language").agg(joined.alias("content"))
+    return facts.sources(spark, d)
 
 
 @query()

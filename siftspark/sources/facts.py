@@ -1,6 +1,8 @@
 """The fact tables of an indexed corpus, read from the data folder.
 
 A file delivered twice counts once (its latest delivery), as does a line or a symbol.
+Repeats are equal in every column, so they are removed by all columns: a filter on any of
+them then moves below the removal and to the scan, and only what it leaves is shuffled.
 """
 
 from __future__ import annotations
@@ -37,17 +39,25 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    once = table(spark, folder, "source_lines").dropDuplicates(["file_id", "line_no"]).select("file_id", "line_no", "content")
+    once = table(spark, folder, "source_lines").select("file_id", "line_no", "content").distinct()
     return once.join(files(spark, folder).select("file_id", "path", "language"), "file_id")
 
 
+def sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole files: ``path, language, content``, the lines joined by line feeds (one shuffle, by file)."""
+    line = F.struct("line_no", "content")
+    text = F.array_join(F.transform(F.array_sort(F.collect_set(line)), lambda x: x.content), "\n")
+    whole = table(spark, folder, "source_lines").filter("content IS NOT NULL").groupBy("file_id").agg(text.alias("content"))
+    return whole.join(files(spark, folder).select("file_id", "path", "language"), "file_id").select("path", "language", "content")
+
+
 def symbols(spark: SparkSession, folder: str) -> DataFrame:
-    once = table(spark, folder, "symbols").dropDuplicates(["symbol_id"])
+    once = table(spark, folder, "symbols").distinct()
     return once.join(files(spark, folder).select("file_id", "path", "language"), "file_id")
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    once = table(spark, folder, "semantic_chunks").dropDuplicates(["chunk_id"])
+    once = table(spark, folder, "semantic_chunks").distinct()
     return once.join(files(spark, folder).select("file_id", "path", "language"), "file_id")
 
 
