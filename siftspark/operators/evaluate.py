@@ -20,6 +20,37 @@ def ranking(ranked: DataFrame, gold: DataFrame, keys: list[str], item: list[str]
     return out.select(*keys, F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 6).alias("ndcg"), *[F.round(F.coalesce(F.col(f"r{c}") / F.col("n"), F.lit(0.0)), 6).alias(f"recall_{c}") for c in cuts])
 
 
+def greedy(ranked: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """``<keys>, gold_id, position``: hits in order each take the first free gold entry they match.
+
+    ``ranked`` has ``position, file, symbol``; ``gold`` has ``gold_id, file, symbol`` (a null symbol
+    matches any). One hit takes one entry, one entry is taken once. A query's judged entries are
+    few, so a query is one unit of work.
+    """
+    import pandas as pd
+
+    pairs = ranked.select(*keys, "position", F.col("file").alias("rf"), F.col("symbol").alias("rs")).join(gold.select(*keys, "gold_id", F.col("file").alias("gf"), F.col("symbol").alias("gs")), keys)
+    pairs = pairs.filter((F.col("rf") == F.col("gf")) & (F.col("gs").isNull() | F.col("gs").eqNullSafe(F.col("rs")))).select(*keys, "gold_id", "position")
+    kinds = ", ".join(f"{k} {ranked.schema[k].dataType.simpleString()}" for k in keys)
+
+    def take(f: pd.DataFrame) -> pd.DataFrame:
+        hits, entries, out = set(), set(), []
+        for r in f.sort_values(["position", "gold_id"]).itertuples(index=False):
+            if r.position not in hits and r.gold_id not in entries:
+                hits.add(r.position)
+                entries.add(r.gold_id)
+                out.append(r)
+        return pd.DataFrame(out, columns=f.columns)
+
+    return pairs.groupBy(*keys).applyInPandas(take, f"{kinds}, gold_id {gold.schema['gold_id'].dataType.simpleString()}, position {ranked.schema['position'].dataType.simpleString()}")
+
+
+def timings(runs: DataFrame, by: str = "query", value: str = "seconds") -> DataFrame:
+    """Per query: mean, geometric mean, variation, median and upper percentiles of its runs."""
+    v = F.col(value)
+    return runs.filter(v > 0).groupBy(by).agg(F.count("*").alias("runs"), F.avg(v).alias("mean"), F.exp(F.avg(F.log(v))).alias("geomean"), (F.coalesce(F.stddev_samp(v), F.lit(0.0)) / F.avg(v) * 100).alias("cv_pct"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.expr(f"percentile({value}, 0.95)").alias("p95"), F.expr(f"percentile({value}, 0.99)").alias("p99"))
+
+
 def tier_precision(edges: DataFrame, gold: DataFrame) -> DataFrame:
     """Per tier the share of distinct edges that the gold holds; an edge counts at its best tier."""
     rank = F.array_position(F.array(*[F.lit(p) for p in PRECISION]), F.col("resolution"))
@@ -57,6 +88,13 @@ def sensitivity(weights: dict[str, float], judged: list, step: float = 0.05) ->
     return out
 
 
+def churn(weights: dict[str, float], ranked: list[dict[str, int]], channel: str, step: float = 0.05) -> int:
+    """How many items change their place if a channel's weight moves by ``step``; items are ranks by channel."""
+    score = lambda w, r: sum(w.get(c, 1.0) / (61.0 + k) for c, k in r.items())
+    order = lambda w: sorted(range(len(ranked)), key=lambda i: (-score(w, ranked[i]), i))
+    return sum(a != b for a, b in zip(order(weights), order(weights | {channel: weights.get(channel, 1.0) + step})))
+
+
 def learn_weights(weights: dict[str, float], judged: list, rounds: int = 64, step: float = 0.25, least: float = 1e-3) -> dict[str, float]:
     """Coordinate search over the channels whose curvature matters, within 0.25 and 2."""
     curve = sensitivity(weights, judged)

@@ -10,16 +10,18 @@ from comments or strings, and a call's caller is the nearest function around it
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.plans.query import Pattern, pattern
+from siftspark.sources import files as store
 
 SCHEMA = "path string, language string, fact string, kind string, name string, caller string, line_start int, line_end int, byte_start long, byte_end long, excerpt string"
 DECLARED = {
@@ -39,6 +41,11 @@ NOT_CALLS = frozenset("if for while switch catch return sizeof function fn func
 PREFIX = {"rust": "fn", "go": "fn", "swift": "fn", "kotlin": "fn", "python": "def", "ruby": "def"}
 
 
+# Symbol kinds and declaration prefixes of type-like declarations, by the word that declares them (fixed values).
+KINDS = {"interface": "interface", "trait": "interface", "protocol": "interface", "enum": "enum", "type": "type", "union": "type"}
+FORMS = {"struct": "struct", "enum": "enum", "interface": "interface", "trait": "interface", "protocol": "interface"}
+
+
 @dataclass
 class Node:
     kind: str  # function, method, class, call, import, ident, if
@@ -48,6 +55,9 @@ class Node:
     args: int = -1
     body: int = -1  # statements, -1 unknown
     path: tuple[str, ...] = ()
+    form: str = ""  # the word that declares it: class, struct, enum, interface and so on
+    inner: tuple[int, int] = (0, 0)  # the arguments of a call or declaration
+    block: tuple[int, int] = (0, 0)  # the body
 
 
 def mask(text: str, language: str) -> str:
@@ -107,7 +117,9 @@ def scan(text: str, language: str) -> list[Node]:
     classes: list[Node] = []
     for m in re.finditer(rules[1], masked, re.MULTILINE):
         end = _end_keyword(masked, masked.rfind("\n", 0, m.start()) + 1) if language == "ruby" else _close(masked, m.end())
-        classes.append(Node("class", m.group(1), m.start(), end))
+        form = re.search(r"\b(class|struct|enum|union|trait|interface|protocol|record|module|object|impl|extension|type)\b", m.group())
+        form_ = "interface" if re.search(r"\binterface\b", m.group()) else "struct" if re.search(r"\bstruct\b", m.group()) else form.group(1) if form else "class"
+        classes.append(Node("class", m.group(1), m.start(), end, form=form_))
     for m in re.finditer(rules[0], masked, re.MULTILINE):
         name = next((g for g in m.groups() if g), "")
         if not name or name in NOT_CALLS:
@@ -120,7 +132,8 @@ def scan(text: str, language: str) -> list[Node]:
         args = _count_args(masked[paren + 1 : masked.find(")", paren)]) if paren >= 0 else 0
         inside = masked[open_ + 1 : end - 1] if language != "ruby" and open_ >= 0 else masked[m.end() : end - 3]
         kind = "method" if any(c.start < m.start() < c.end for c in classes) else "function"
-        out.append(Node(kind, name, begin, end, args, _statements(inside)))
+        stop = masked.find(")", paren) if paren >= 0 else -1
+        out.append(Node(kind, name, begin, end, args, _statements(inside), inner=(paren + 1, stop) if stop > 0 else (0, 0), block=(open_ + 1, end - 1) if language != "ruby" and open_ >= 0 else (m.end(), max(m.end(), end - 3))))
     out += classes
     declared = {n.start for n in out}
     for m in re.finditer(r"(?<![\w$])((?:[A-Za-z_$][\w$]*(?:\.|::|->))*)([A-Za-z_$][\w$]*[!?]?)\s*\(", masked):
@@ -134,7 +147,7 @@ def scan(text: str, language: str) -> list[Node]:
             if not depth:
                 break
         path = tuple(p for p in re.split(r"\.|::|->", m.group(1)) if p) + (m.group(2),)
-        out.append(Node("call", m.group(2), m.start(), k, _count_args(masked[m.end() : k - 1]), path=path))
+        out.append(Node("call", m.group(2), m.start(), k, _count_args(masked[m.end() : k - 1]), path=path, inner=(m.end(), k - 1)))
     for m in re.finditer(r"\bif\b[^{\n]*\{", masked):
         end = _close(masked, m.start())
         out.append(Node("if", "if", m.start(), end, body=_statements(masked[m.end() : end - 1])))
@@ -165,11 +178,12 @@ def scan_python(text: str, language: str = "python") -> list[Node]:
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 a = child.args
                 n = len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + bool(a.vararg) + bool(a.kwarg)
-                out.append(Node("method" if inside else "function", child.name, *span, n, len(child.body)))
+                block = (at(child.body[0].lineno, child.body[0].col_offset), span[1])
+                out.append(Node("method" if inside else "function", child.name, *span, n, len(child.body), block=block))
                 visit(child, False)
                 continue
             if isinstance(child, ast.ClassDef):
-                out.append(Node("class", child.name, *span))
+                out.append(Node("class", child.name, *span, form="class"))
                 visit(child, True)
                 continue
             if isinstance(child, ast.Call):
@@ -180,7 +194,9 @@ def scan_python(text: str, language: str = "python") -> list[Node]:
                 if isinstance(f, ast.Name):
                     path.append(f.id)
                 if path:
-                    out.append(Node("call", path[0], *span, len(child.args) + len(child.keywords), path=tuple(reversed(path))))
+                    inside = [*child.args, *[k.value for k in child.keywords]]
+                    begin = at(child.func.end_lineno, child.func.end_col_offset)
+                    out.append(Node("call", path[0], *span, len(inside), path=tuple(reversed(path)), inner=(min(begin + 1, span[1] - 1), span[1] - 1)))
             elif isinstance(child, ast.If):
                 out.append(Node("if", "if", *span, body=len(child.body)))
             elif isinstance(child, ast.Import):
@@ -230,9 +246,11 @@ def facts(text: str, language: str) -> list[tuple]:
         elif n.kind == "if":
             add("pattern", "if", "kind:if", caller, n)
         else:
-            add("symbol", n.kind, n.name, None, n)
-            prefix = PREFIX.get(language, "function") if n.kind != "class" else "class"
+            kind = KINDS.get(n.form, n.kind)
+            add("symbol", kind, n.name, None, n)
+            prefix = PREFIX.get(language, "function") if n.kind != "class" else FORMS.get(n.form, "class")
             add("pattern", n.kind, f"decl:{prefix}:{n.name}", None, n)
+            add("pattern", n.kind, f"{prefix} {n.name}", None, n)
             add("pattern", n.kind, f"kind:{n.kind}", None, n)
             add("pattern", "ident", n.name, None, n)
     return out
@@ -256,7 +274,7 @@ def matches(text: str, language: str, want: Pattern) -> list[tuple[int, int, dic
     for n in nodes(text, language):
         if want.kind == "ident":
             if n.name == want.name and n.kind in ("function", "method", "class", "call"):
-                out.append((n.start, n.end, {"MATCH": text[n.start : n.end]}))
+                out.append((n.start, n.end, {"MATCH": text[n.start : n.end], "NAME": n.name}))
             continue
         if want.kind == "function":
             ok = n.kind in ("function", "method")
@@ -278,7 +296,20 @@ def matches(text: str, language: str, want: Pattern) -> list[tuple[int, int, dic
         if {"empty": n.body != 0, "one": n.body != 1}.get(want.body, False):
             ok = False
         if ok:
-            out.append((n.start, n.end, {"MATCH": text[n.start : n.end], "NAME": n.name, "PATH": ".".join(n.path)}))
+            held = {"MATCH": text[n.start : n.end], "NAME": n.name, "PATH": ".".join(n.path), "ARGS": text[n.inner[0] : n.inner[1]], "BODY": text[n.block[0] : n.block[1]]}
+            out.append((n.start, n.end, held | {f"P{k}": p for k, p in enumerate(n.path)}))
+    return out
+
+
+def named(text: str, captures: dict[str, str]) -> dict[str, str]:
+    """The captures also under the names that the pattern gives them: ``$X`` its name, ``$$$X`` arguments, then body."""
+    out = dict(captures)
+    head = text.split("(", 1)[0]
+    for k, part in enumerate(re.split(r"\.|::|\s+", head)):
+        if m := re.fullmatch(r"\$(\w+)", part):
+            out.setdefault(m.group(1), captures.get(f"P{k}", captures["NAME"]) if "P1" in captures else captures["NAME"])
+    for name, what in zip(re.findall(r"\$\$\$(\w+)", text), ("ARGS", "BODY") if "(" in text else ("BODY",)):
+        out.setdefault(name, captures.get(what, ""))
     return out
 
 
@@ -302,13 +333,44 @@ def match_pattern(sources: DataFrame, text: str) -> DataFrame:
             out = []
             for p, lang, t in zip(f["path"], f["language"], f["content"]):
                 for a, b, captures in matches(t, lang, want):
-                    out.append((p, t.count("\n", 0, a) + 1, t.count("\n", 0, max(a, b - 1)) + 1, excerpt(t[a:b]), captures))
+                    out.append((p, t.count("\n", 0, a) + 1, t.count("\n", 0, max(a, b - 1)) + 1, excerpt(t[a:b]), named(text, captures)))
             if out:
                 yield pd.DataFrame(out, columns=["path", "line_start", "line_end", "excerpt", "captures"])
 
     return rows.select("path", "language", "content").mapInPandas(run, schema)
 
 
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def apply(spark: SparkSession, plan: DataFrame, root: str) -> int:
+    """Write a rewrite plan below ``root``: all files or none.
+
+    Every file is first compared with the text the plan was made from, then staged beside its
+    target, and only when all are staged they are renamed into place; if one cannot be, those
+    before it are put back. Returns the number of files written.
+    """
+    if not plan.filter("error IS NOT NULL").isEmpty():
+        raise ValueError("the plan has files with overlapping matches")
+    done: list[tuple[str, str]] = []
+    rows = plan.select("path", "rewritten", "original")
+    for r in rows.toLocalIterator():
+        now = store.read_text(spark, f"{root}/{r['path']}")
+        if now is None or digest(now) != r["original"]:
+            raise ValueError(f"{r['path']} has changed since the plan was made")
+    try:
+        for r in rows.toLocalIterator():
+            target = f"{root}/{r['path']}"
+            done.append((target, store.read_text(spark, target)))
+            store.write_text(spark, target, r["rewritten"])
+    except Exception:
+        for target, before in done:
+            store.write_text(spark, target, before)
+        raise
+    return len(done)
+
+
 def codemod(sources: DataFrame, text: str, replacement: str) -> DataFrame:
     """The rewrite plan ``path, edits, rewritten``: each match replaced, ``$NAME`` and ``$MATCH`` filled in.
 
@@ -316,7 +378,7 @@ def codemod(sources: DataFrame, text: str, replacement: str) -> DataFrame:
     change give no row. Nothing is written.
     """
     want = pattern(text)
-    schema = "path string, edits int, rewritten string, error string"
+    schema = "path string, edits int, rewritten string, error string, original string"
     if want is None:
         return sources.sparkSession.createDataFrame([], schema)
 
@@ -326,17 +388,18 @@ def codemod(sources: DataFrame, text: str, replacement: str) -> DataFrame:
             for p, lang, t in zip(f["path"], f["language"], f["content"]):
                 found = sorted(matches(t, lang, want), key=lambda x: x[:2])
                 if any(a[1] > b[0] for a, b in zip(found, found[1:])):
-                    out.append((p, 0, None, "overlapping matches"))
+                    out.append((p, 0, None, "overlapping matches", digest(t)))
                     continue
                 new, last, n = "", 0, 0
                 for a, b, captures in found:
-                    put = re.sub(r"\$\$|\$(\w+)", lambda m: "$" if m.group() == "$$" else captures.get(m.group(1), m.group()), replacement)
+                    held = named(text, captures)
+                    put = re.sub(r"\$\$\$(\w+)|\$\$|\$(\w+)", lambda m: "$" if m.group() == "$$" else held.get(m.group(1) or m.group(2), m.group()), replacement)
                     n += put != t[a:b]
                     new, last = new + t[last:a] + put, b
                 if n:
-                    out.append((p, n, new + t[last:], None))
+                    out.append((p, n, new + t[last:], None, digest(t)))
             if out:
-                yield pd.DataFrame(out, columns=["path", "edits", "rewritten", "error"])
+                yield pd.DataFrame(out, columns=["path", "edits", "rewritten", "error", "original"])
 
     return sources.filter("content IS NOT NULL AND language IS NOT NULL").select("path", "language", "content").mapInPandas(run, schema)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Channel names and their order (fixed values).
 CHANNELS = ("asgrep", "def", "caller", "graph", "anchor", "import", "pattern", "embed")
 KIND_ORDER = ("def", "caller", "graph", "pattern", "import", "anchor", "asgrep", "embed")
 # Channel weights by intent (fixed values); other intents weigh all channels 1.
@@ -50,9 +51,12 @@ def union(*channels: DataFrame) -> DataFrame:
     return out
 
 
-def dedup(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """One hit per place and symbol: the best score gives the row, contributors and nulls are filled in."""
-    place = [*keys, "file", "line_start", "line_end", "symbol"]
+def dedup(hits: DataFrame, keys: list[str], edge: list[str] | None = None) -> DataFrame:
+    """One hit per place and symbol: the best score gives the row, contributors and nulls are filled in.
+
+    ``edge`` names further columns of the key (caller and callee, where hits have them).
+    """
+    place = [*keys, "file", "line_start", "line_end", "symbol", *(edge or [])]
     score = F.when(finite(F.col("score")), F.col("score")).otherwise(F.lit(float("-inf")))
     rank = F.struct(score.alias("s"), (-priority(F.col("kind"))).alias("p"), F.col("kind").alias("k"))
     strength = F.when(F.col("signal") == "exact", 2).when(F.col("signal") == "structural", 1).otherwise(0)

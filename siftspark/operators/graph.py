@@ -20,12 +20,15 @@ def outgoing(calls: DataFrame, name: str) -> DataFrame:
     return calls.filter(ascii_lower(F.col("caller")) == ascii_lower(F.lit(name))).select("path", "line_no", "caller", "callee")
 
 
-def file_edges(calls: DataFrame, symbols: DataFrame, most: int = DEFS) -> DataFrame:
-    """File to file by call: a callee's first ``most`` definitions are its targets."""
+def file_edges(calls: DataFrame, symbols: DataFrame, most: int = DEFS, imports: DataFrame | None = None) -> DataFrame:
+    """File to file by call: a callee's first ``most`` definitions are its targets; and by resolved import (``path, target``)."""
     nth = F.row_number().over(Window.partitionBy("low").orderBy("path", "byte_start"))
     defs = symbols.select(ascii_lower(F.col("name")).alias("low"), "path", "byte_start").withColumn("r", nth).filter(F.col("r") <= most).select("low", F.col("path").alias("target"))
     rows = calls.select(F.col("path").alias("source"), ascii_lower(F.col("callee")).alias("low")).distinct()
-    return rows.join(defs, "low").filter("source <> target").select("source", "target").distinct()
+    edges = rows.join(defs, "low").filter("source <> target").select("source", "target")
+    if imports is not None:
+        edges = edges.unionByName(imports.select(F.col("path").alias("source"), "target").filter("source <> target"))
+    return edges.distinct()
 
 
 def chain(seeds: DataFrame, edges: DataFrame, depth: int = DEPTH, most: int = NODES) -> DataFrame:
@@ -43,6 +46,18 @@ def chain(seeds: DataFrame, edges: DataFrame, depth: int = DEPTH, most: int = NO
     return seen.orderBy(F.desc("score"), "hop", "file").limit(most)
 
 
+def hops(path: DataFrame, symbols: DataFrame, most: int = 4) -> DataFrame:
+    """The path with up to four definitions each hop may mean, and whether that is sure: ``candidates, resolution``."""
+    low = ascii_lower(F.col("name"))
+    nth = F.row_number().over(Window.partitionBy("low").orderBy("path", "byte_start"))
+    own = symbols.withColumn("low", low).join(F.broadcast(path.select(ascii_lower(F.col("callee")).alias("low")).distinct()), "low", "left_semi")
+    first = own.withColumn("r", nth).withColumn("n", F.count("*").over(Window.partitionBy("low"))).filter(F.col("r") <= most)
+    held = first.groupBy("low").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.concat_ws("#", "path", F.col("byte_start").cast("string")))).alias("candidates"))
+    out = path.withColumn("low", ascii_lower(F.col("callee"))).join(held, "low", "left")
+    tier = F.when(F.col("n") == 1, "repository_unique").when(F.col("n") > 1, "ambiguous").otherwise("name_only")
+    return out.select(*path.columns, F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"), tier.alias("resolution"))
+
+
 def call_path(calls: DataFrame, symbols: DataFrame, start: str, goal: str, depth: int = PATH_DEPTH, most: int = PATH_NODES) -> DataFrame:
     """``hop, caller, callee`` of a shortest call path, empty if there is none within the caps.
 

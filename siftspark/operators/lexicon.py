@@ -9,6 +9,10 @@ SUPPORT, PER_TERM, EXPANSIONS = 3, 8, 5
 IDENTIFIER_TERMS, PROSE_TERMS = 8, 64
 
 
+# Words too common in names and prose to tell anything (fixed values).
+STOP_TERMS = ("the", "and", "for", "with", "from", "this", "that", "into", "are", "was", "not", "has", "its", "get", "set")
+
+
 def subtokens(c: Column) -> Column:
     """Distinct lower-case parts (3 to 64 characters) at marks and changes of case."""
     parts = F.split(F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"[^\p{L}\p{N}]+")
@@ -17,8 +21,9 @@ def subtokens(c: Column) -> Column:
 
 def observations(chunks: DataFrame, name: str = "symbol_name", prose: str = "doc") -> DataFrame:
     """``key, identifier, context``: a definition's name parts and the terms of its documentation."""
-    ident = F.slice(F.array_sort(subtokens(F.col(name))), 1, IDENTIFIER_TERMS)
-    words = F.slice(F.array_sort(subtokens(F.coalesce(prose, F.lit("")))), 1, PROSE_TERMS)
+    stop = F.array(*[F.lit(t) for t in STOP_TERMS])  # the first terms in the order of the text, without stop terms
+    ident = F.slice(F.array_except(subtokens(F.col(name)), stop), 1, IDENTIFIER_TERMS)
+    words = F.slice(F.array_except(subtokens(F.coalesce(prose, F.lit(""))), stop), 1, PROSE_TERMS)
     rows = chunks.select(F.col("chunk_id").alias("key"), ident.alias("identifier"), words.alias("prose"))
     rows = rows.withColumn("context", F.array_distinct(F.concat("identifier", "prose"))).filter("size(identifier) > 0 AND size(context) >= 2")
     return rows.select("key", "identifier", "context")

@@ -108,6 +108,31 @@ PRECISION = ("compiler_resolved", "import_resolved", "file_local_unique", "scip_
 PRECISE = PRECISION[:3]
 
 
+def precise(resolution: Column) -> Column:
+    """Is the tier one that names its target for certain?"""
+    return resolution.isin(*PRECISE)
+
+
+def per_file(symbols: DataFrame, name: str) -> DataFrame:
+    """How many definitions of a name each file holds."""
+    return symbols.filter(same_name(F.col("name"), name)).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def texts(symbols: DataFrame, lines: DataFrame, most: int = 1600) -> DataFrame:
+    """``symbol_id, text``: the lines of each definition, each cut to ``most`` characters, joined by blanks.
+
+    Definitions meet their lines by number, so no file's lines all meet its definitions.
+    """
+    want = symbols.select("path", "symbol_id", F.explode(F.sequence("line_start", F.greatest("line_start", "line_end"))).alias("line_no"))
+    held = want.join(lines.select("path", "line_no", F.substring("content", 1, most).alias("t")), ["path", "line_no"])
+    return held.groupBy("symbol_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x.t), " ").alias("text"))
+
+
+def best(symbol: Column, terms: list[str]) -> Column:
+    """The highest score of any term."""
+    return F.greatest(F.lit(0.0), F.lit(0.0), *[score_symbol(symbol, t) for t in terms])
+
+
 def scip_upgrade(resolved: DataFrame, facts: DataFrame) -> DataFrame:
     """Raise a call's tier where an overlay names it at the same place; never lower it."""
     seen = facts.filter("NOT is_def").select(F.col("path").alias("s_path"), F.col("line_no").alias("s_line"), ascii_lower(F.col("name")).alias("s_name")).distinct()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators import chunks, conjunction, evaluate, extract, fusion, graph, lexical, lexicon, symbols, text, vectors
-from siftspark.plans import hybrid
+from siftspark.operators import chunks, conjunction, evaluate, extract, fusion, graph, lexical, lexicon, structure, symbols, text, vectors
+from siftspark.plans import hybrid, index, search
+from siftspark.plans.query import parse, parse_conjunction
 from siftspark.sources import facts
 from siftspark.sources.tables import table
 from siftspark.streaming import generations
@@ -419,8 +420,8 @@ def hashed_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 # --- lexicon ------------------------------------------------------------------------------
 
-_PPMI = """, o0 AS (SELECT chunk_id, list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(symbol_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), lambda x: len(x) BETWEEN 3 AND 64)) AS i, list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(doc, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), lambda x: len(x) BETWEEN 3 AND 64)) AS p FROM k WHERE symbol_name IS NOT NULL),
-o AS (SELECT chunk_id, list_slice(list_sort(i), 1, 8) AS i, list_distinct(list_concat(list_slice(list_sort(i), 1, 8), list_slice(list_sort(p), 1, 64))) AS c FROM o0),
+_PPMI = """, o0 AS (SELECT chunk_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(symbol_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), lambda x: len(x) BETWEEN 3 AND 64 AND NOT list_contains(['the', 'and', 'for', 'with', 'from', 'this', 'that', 'into', 'are', 'was', 'not', 'has', 'its', 'get', 'set'], x)) AS i, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(doc, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), lambda x: len(x) BETWEEN 3 AND 64 AND NOT list_contains(['the', 'and', 'for', 'with', 'from', 'this', 'that', 'into', 'are', 'was', 'not', 'has', 'its', 'get', 'set'], x)) AS p FROM k WHERE symbol_name IS NOT NULL),
+o AS (SELECT chunk_id, i, list_distinct(list_concat(i, p)) AS c FROM (SELECT chunk_id, list_slice(list_filter(i, lambda x, n: list_position(i, x) = n), 1, 8) AS i, list_slice(list_filter(p, lambda x, n: list_position(p, x) = n), 1, 64) AS p FROM o0)),
 pr AS (SELECT a AS term, b AS related, count(*) AS support FROM (SELECT a, unnest(c) AS b FROM (SELECT unnest(i) AS a, c FROM o WHERE len(i) > 0 AND len(c) >= 2)) WHERE a <> b GROUP BY ALL),
 pp AS (SELECT term, related, round(ln(support * n / (nt * nr)), 6) AS ppmi, support FROM pr JOIN (SELECT term, sum(support)::DOUBLE AS nt FROM pr GROUP BY term) USING (term) JOIN (SELECT related, sum(support)::DOUBLE AS nr FROM pr GROUP BY related) USING (related), (SELECT sum(support)::DOUBLE AS n FROM pr) WHERE support >= 3)
 """
@@ -475,7 +476,7 @@ def working_set_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query(", p AS (SELECT symbol, max(score) AS s FROM h WHERE kind = 'embed' AND symbol IS NOT NULL AND score IS NOT NULL AND isfinite(score) GROUP BY symbol ORDER BY s DESC, symbol LIMIT 4) SELECT file, line_start, symbol FROM (SELECT e.path AS file, e.line_no AS line_start, e.callee AS symbol, row_number() OVER (PARTITION BY e.callee ORDER BY e.path, e.line_no, e.caller) AS r FROM e JOIN p ON p.symbol = e.callee) WHERE r <= 16")
 def conceptual_fanout(spark: SparkSession, d: str) -> DataFrame:
     embed = facts.hits(spark, d).filter(F.col("kind") == "embed").filter(fusion.finite(F.col("score")))
-    return hybrid.fanout(embed, facts.calls(spark, d)).select("file", "line_start", "symbol")
+    return hybrid.fanout(embed, facts.calls(spark, d)).filter("kind = 'graph'").select("file", "line_start", "symbol")
 
 
 @query()
@@ -504,7 +505,7 @@ def ivf_assign(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ivf_probe_topk(spark: SparkSession, d: str) -> DataFrame:
     assigned, centroids = _ivf(spark, d)
-    return vectors.ivf_search(assigned, _query_vector(spark, d), "vec_id", "embedding", centroids, 10)
+    return vectors.ivf_search(assigned, _query_vector(spark, d), "vec_id", "embedding", centroids, 10).select("vec_id", F.round("sim", 6).alias("sim"))
 
 
 # --- extraction and structure -------------------------------------------------------------
@@ -516,17 +517,17 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def extract_facts(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract(_sources(spark, d)).drop("excerpt")
+    return extract.extract(_sources(spark, d))
 
 
 @query()
 def pattern_match(spark: SparkSession, d: str) -> DataFrame:
-    return extract.match_pattern(_sources(spark, d), "def $NAME($$$)").drop("captures")
+    return extract.match_pattern(_sources(spark, d), "def $NAME($$$)")
 
 
 @query()
 def codemod_plan(spark: SparkSession, d: str) -> DataFrame:
-    return extract.codemod(_sources(spark, d), "render($$$)", "draw_$MATCH").select("path", "edits", "error")
+    return extract.codemod(_sources(spark, d), "render($$$)", "draw_$MATCH")
 
 
 @query("SELECT path, line_no, coalesce(doc, '') AS doc, scope FROM (SELECT path, line_start AS line_no, doc, scope FROM k WHERE kind IN ('function', 'method'))")
@@ -539,7 +540,7 @@ def chunk_fields(spark: SparkSession, d: str) -> DataFrame:
     return chunks.fields(facts.chunks(spark, d)).select("chunk_id", "name", "docs", "body")
 
 
-@query()
+@query("SELECT chunk_id, concat_ws(chr(10), CASE WHEN length(trim(excerpt)) > 0 THEN 'excerpt: ' || excerpt END, CASE WHEN length(trim(symbol_name)) > 0 THEN 'symbol: ' || symbol_name END, CASE WHEN length(trim(kind)) > 0 THEN 'kind: ' || kind END, CASE WHEN length(trim(scope)) > 0 THEN 'scope: ' || scope END, CASE WHEN length(trim(doc)) > 0 THEN 'doc: ' || doc END, CASE WHEN len(callers) > 0 THEN 'called_by: ' || array_to_string(list_sort(callers), ' ') END, CASE WHEN len(callees) > 0 THEN 'calls: ' || array_to_string(list_sort(callees), ' ') END) AS text FROM k")
 def chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return facts.chunks(spark, d).select("chunk_id", chunks.rendered().alias("text"))
 
@@ -585,6 +586,118 @@ def prune_missing(spark: SparkSession, d: str) -> DataFrame:
     return generations.prune(own, own.filter("file_id % 2 = 0"), True, "python").select("path")
 
 
+# --- a search as it is run ----------------------------------------------------------------
+
+
+def _mode(spark: SparkSession, d: str, raw: str, most: int | None = None) -> DataFrame:
+    out = search.channel(index.over(spark, d), parse(raw), search.Options(limit=most))
+    return out.select("kind", "file", "line_start", "line_end", "symbol", "score")
+
+
+@query(f"SELECT 'def' AS kind, path AS file, line_start, line_end, name AS symbol, (2 * {_DEF} + 3.0::DOUBLE) * CASE WHEN kind IN ('function', 'method') THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END AS score FROM (SELECT * FROM s WHERE lower(name) = 'parse' ORDER BY CASE WHEN kind IN ('function', 'method') THEN 0 ELSE 1 END, path, byte_start LIMIT 500)")
+def mode_defs(spark: SparkSession, d: str) -> DataFrame:
+    return _mode(spark, d, "defs:Parse")
+
+
+@query(_RES + "SELECT unnest(['caller', 'graph']) AS kind, path AS file, line_no AS line_start, line_no AS line_end, unnest([caller, callee]) AS symbol, unnest([2 * 5.0::DOUBLE + 1.5, 5.0::DOUBLE]) AS score, resolution FROM (SELECT path, line_no, caller, callee, min(resolution) AS resolution, chunk_id FROM r WHERE lower(callee) = 'render' GROUP BY path, line_no, caller, callee, chunk_id ORDER BY path, line_no, caller, callee LIMIT 500)")
+def mode_callers(spark: SparkSession, d: str) -> DataFrame:
+    out = search.channel(index.over(spark, d), parse("callers:render"))
+    return out.select("kind", "file", "line_start", "line_end", "symbol", "score", "resolution")
+
+
+@query(_IMPORTS + "SELECT 'import' AS kind, path AS file, line_no AS line_start, line_no AS line_end, module AS symbol, 2.0::DOUBLE AS score FROM i WHERE module IS NOT NULL AND contains(lower(module), 'kit')")
+def mode_imports(spark: SparkSession, d: str) -> DataFrame:
+    return _mode(spark, d, "imports:KIT")
+
+
+@query("SELECT 'asgrep' AS kind, path AS file, line_no AS line_start, line_no AS line_end, NULL::VARCHAR AS symbol, 1.0::DOUBLE AS score FROM l WHERE contains(lower(content), 'retry') ORDER BY path, line_no LIMIT 1000")
+def mode_literal(spark: SparkSession, d: str) -> DataFrame:
+    return _mode(spark, d, "literal:RETRY", 1000)
+
+
+@query("SELECT 'asgrep' AS kind, path AS file, line_no AS line_start, line_no AS line_end, NULL::VARCHAR AS symbol, 1.0::DOUBLE AS score FROM l WHERE regexp_matches(content, '(^|[^\\p{L}\\p{N}_])token($|[^\\p{L}\\p{N}_])') ORDER BY path, line_no LIMIT 200")
+def mode_word(spark: SparkSession, d: str) -> DataFrame:
+    return _mode(spark, d, "word:token")
+
+
+@query("SELECT 'asgrep' AS kind, path AS file, line_no AS line_start, line_no AS line_end, NULL::VARCHAR AS symbol, 1.0::DOUBLE AS score FROM l WHERE regexp_matches(content, 'return [0-9]+') ORDER BY path, line_no LIMIT 200")
+def mode_regex(spark: SparkSession, d: str) -> DataFrame:
+    return _mode(spark, d, "regex:return [0-9]+")
+
+
+@query("SELECT 'asgrep' AS kind, path AS file, line_no AS line_start, line_no AS line_end, NULL::VARCHAR AS symbol, 1.0::DOUBLE AS score FROM l WHERE contains(lower(content), 'in the') ORDER BY path, line_no LIMIT 200")
+def mode_quoted(spark: SparkSession, d: str) -> DataFrame:
+    return _mode(spark, d, '"in the"')
+
+
+@query("SELECT path AS file, line_no AS line_start, 'asgrep' AS kind FROM l WHERE contains(lower(content), 'retry') AND path IN (SELECT path FROM s WHERE lower(name) = 'parse')")
+def conj_file(spark: SparkSession, d: str) -> DataFrame:
+    return search.conjunct(index.over(spark, d), parse_conjunction("literal:retry AND defs:parse")).select("file", "line_start", "kind")
+
+
+@query("SELECT path AS file, line_no AS line_start, 'asgrep' AS kind FROM l WHERE contains(lower(content), 'retry') AND path NOT IN (SELECT path FROM s WHERE lower(name) = 'parse')")
+def conj_not_file(spark: SparkSession, d: str) -> DataFrame:
+    return search.conjunct(index.over(spark, d), parse_conjunction("literal:retry AND NOT defs:parse")).select("file", "line_start", "kind")
+
+
+@query()
+def conj_span(spark: SparkSession, d: str) -> DataFrame:
+    """Python functions around a call of ``render``."""
+    own = facts.sources(spark, d)
+    nodes = (own, structure.nodes(extract.extract(own)))
+    return search.conjunct(index.over(spark, d), parse_conjunction("pattern:def $NAME($$$) AND callers:render"), nodes=nodes).select("file", "line_start", "line_end", "kind")
+
+
+_FULL = f""", d0 AS (SELECT path AS file, line_start, line_end, name AS symbol, max((2 * {_DEF} + 3.0::DOUBLE) * CASE WHEN kind IN ('function', 'method') THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END) AS score FROM (SELECT * FROM s WHERE lower(name) = 'parse' ORDER BY CASE WHEN kind IN ('function', 'method') THEN 0 ELSE 1 END, path, byte_start LIMIT 500) GROUP BY ALL),
+d1 AS (SELECT *, CASE WHEN lower(symbol) = 'parse' THEN 1 ELSE 0 END AS coverage FROM d0),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, coverage DESC, file, line_start, line_end, symbol) AS nth FROM d1)
+"""
+
+
+@query(_FULL + "SELECT position, file, line_start, symbol, score, 0.6::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (ORDER BY (nth > 3)::INT, score DESC, coverage DESC, file, line_start, line_end, symbol) AS position FROM d2) WHERE position <= 16")
+def search_full(spark: SparkSession, d: str) -> DataFrame:
+    out = search.search(index.over(spark, d), "defs:parse")
+    return out.select(F.col("position").cast("long").alias("position"), "file", "line_start", "symbol", "score", "confidence")
+
+
+@query("SELECT 'files' AS name, count(*) AS rows FROM f UNION ALL SELECT 'lines', count(*) FROM l UNION ALL SELECT 'symbols', count(*) FROM s UNION ALL SELECT 'calls', count(*) FROM e UNION ALL SELECT 'chunks', count(*) FROM k")
+def index_status(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of each fact table of an index."""
+    held, out = index.over(spark, d), None
+    for name in ("files", "lines", "symbols", "calls", "chunks"):
+        one = getattr(held, name).agg(F.lit(name).alias("name"), F.count("*").alias("rows")).select("name", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT path, count(*) AS n FROM s WHERE lower(name) = 'parse' GROUP BY path")
+def symbols_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.per_file(facts.symbols(spark, d), "parse")
+
+
+@query("SELECT s.symbol_id, string_agg(substr(l.content, 1, 1600), ' ' ORDER BY l.line_no) AS text FROM s JOIN l ON l.path = s.path AND l.line_no BETWEEN s.line_start AND s.line_end GROUP BY s.symbol_id")
+def symbol_texts(spark: SparkSession, d: str) -> DataFrame:
+    return symbols.texts(facts.symbols(spark, d), facts.lines(spark, d))
+
+
+@query("SELECT count(*) AS n, max(line_no) AS last_line, max(length(content)) AS longest FROM l")
+def line_scalars(spark: SparkSession, d: str) -> DataFrame:
+    return facts.lines(spark, d).agg(F.count("*").alias("n"), F.max("line_no").alias("last_line"), F.max(F.length("content")).cast("long").alias("longest"))
+
+
+@query()
+def built_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Semantic chunks built from the extracted facts of every file."""
+    return structure.build_chunks(extract.extract(facts.sources(spark, d)), facts.lines(spark, d))
+
+
+@query()
+def structural_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The structural index asked by signature and united with the native scan."""
+    own = facts.sources(spark, d)
+    return structure.find(structure.nodes(extract.extract(own)), own, "def parse").select("file", "line_start", "line_end", "symbol", "score", "excerpt")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The cascade from lines to fused, capped and ordered hits over all logged queries."""
     fused = fusion.critic(_fused(spark, d))

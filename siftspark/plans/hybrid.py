@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.operators import fusion, lexicon, symbols, text, vectors
-from siftspark.plans.query import Query, limit, parse, primary_symbol, term_signatures
+from siftspark.operators.structure import by_terms
+from siftspark.plans.query import Query, limit, parse, primary_symbol
+from siftspark.session import checkpoint
 
 LINES_PER_TERM, FILES, FANOUT, PARENTS = 100, 100, 16, 4
 
@@ -49,10 +51,6 @@ def structural(symbol_rows: DataFrame, calls: DataFrame, files: DataFrame, query
     return fusion.union(defs, using, anchor).filter("score > 0").orderBy(F.desc("score"), "file", "line_start", "symbol").limit(symbols.POOL)
 
 
-def signature_terms(terms: list[str]) -> list[str]:
-    return [s for t in terms if len(t) >= 3 for s in term_signatures(t)]
-
-
 def working_files(lexical: DataFrame, structure: DataFrame) -> DataFrame:
     """The files that structure found, or those of the lines if it found none (decided in the plan)."""
     narrow = structure.select("file").distinct()
@@ -67,7 +65,7 @@ def semantic(chunk_vectors: DataFrame, files: DataFrame, query: Query, pool: int
     ``more`` terms widen the query. Without a column ``vector`` the texts in the files are embedded.
     """
     vector = vectors.embed_text(" ".join([query.target, *(more or [])]))
-    rows = chunk_vectors.join(F.broadcast(files.select(F.col("file").alias("path"))), "path", "left_semi")
+    rows = chunk_vectors if files is None else chunk_vectors.join(files.select(F.col("file").alias("path")), "path", "left_semi")
     if "vector" not in rows.columns:
         rows = rows.withColumn("vector", vectors.embed_hashed("text"))
     q = F.array(*[F.lit(float(x)) for x in vector])
@@ -76,15 +74,23 @@ def semantic(chunk_vectors: DataFrame, files: DataFrame, query: Query, pool: int
     return best.orderBy(F.desc("score"), "path", "line_start").limit(max(50, pool)).select(F.lit("embed").alias("kind"), F.col("path").alias("file"), "line_start", "line_end", F.col("symbol_name").alias("symbol"), "score")
 
 
-def fanout(embed: DataFrame, calls: DataFrame) -> DataFrame:
-    """For the best four semantic parents up to sixteen calls of each."""
+def fanout(embed: DataFrame, calls: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """For the best four semantic parents up to sixteen calls of each, as callers and as edges, and as many pattern nodes."""
     best = embed.filter("symbol IS NOT NULL").groupBy("symbol").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "symbol").limit(PARENTS)
     rows = calls.join(F.broadcast(best.select(F.col("symbol").alias("callee"))), "callee")
     nth = F.row_number().over(Window.partitionBy("callee").orderBy("path", "line_no", "caller"))
-    return rows.withColumn("r", nth).filter(F.col("r") <= FANOUT).select(F.lit("graph").alias("kind"), F.col("path").alias("file"), F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"), F.col("callee").alias("symbol"), F.lit(symbols.GRAPH).alias("score"))
-
-
-def search(raw: str, lines: DataFrame, symbol_rows: DataFrame, calls: DataFrame, chunk_vectors: DataFrame | None = None, most: int | None = None, associations: DataFrame | None = None) -> DataFrame:
+    first = rows.withColumn("r", nth).filter(F.col("r") <= FANOUT)
+    place = [F.col("path").alias("file"), F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end")]
+    found = first.select(F.lit("caller").alias("kind"), *place, F.col("caller").alias("symbol"), F.lit(symbols.EXACT * 2 + symbols.CALL_BASE).alias("score"))
+    if nodes is not None:
+        own = nodes.join(F.broadcast(best.select(F.explode(F.array(F.concat(F.lit("call-name:"), "symbol"), F.concat(F.lit("decl:fn:"), "symbol"), F.concat(F.lit("decl:def:"), "symbol"), F.concat(F.lit("decl:function:"), "symbol"))).alias("signature"), "symbol")), "signature")
+        at = F.row_number().over(Window.partitionBy("symbol").orderBy("path", "line_start", "signature"))
+        own = own.withColumn("r", at).filter(F.col("r") <= FANOUT)
+        found = found.unionByName(own.select(F.lit("pattern").alias("kind"), F.col("path").alias("file"), "line_start", "line_end", "symbol", F.lit(0.85 * 7.0).alias("score")))
+    return found.unionByName(first.select(F.lit("graph").alias("kind"), *place, F.col("callee").alias("symbol"), F.lit(symbols.GRAPH).alias("score")))
+
+
+def search(raw: str, lines: DataFrame, symbol_rows: DataFrame, calls: DataFrame, chunk_vectors: DataFrame | None = None, most: int | None = None, associations: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Free-text search as one plan: ``position, file, line_start, kind, score, contributors, critic``.
 
     ``associations`` give a conceptual query up to five related terms; they widen the candidate
@@ -95,17 +101,21 @@ def search(raw: str, lines: DataFrame, symbol_rows: DataFrame, calls: DataFrame,
     more = []
     if associations is not None and chunk_vectors is not None and query.intent == "conceptual":
         more = [r["related"] for r in lexicon.expand(associations, [t.lower() for t in terms]).collect()]
-    candidates = prefilter(lines, terms + more)
+    candidates = checkpoint(prefilter(lines, terms + more))  # at most a hundred rows a term, used four times
     evidence = candidates.filter(F.col("term").isin(terms))
     files = top_files(candidates)
-    structure = structural(symbol_rows, calls, files, query)
+    files = checkpoint(files)
+    structure = checkpoint(structural(symbol_rows, calls, files, query))  # a bounded pool, used twice
     working = working_files(files, structure)
     lexical = evidence.join(F.broadcast(working), "file", "left_semi").select(F.lit("asgrep").alias("kind"), "file", "line_start", F.col("line_start").alias("line_end"), F.lit(None).cast("string").alias("symbol"), "score")
     found = [lexical, structure]
+    if nodes is not None:
+        inside = F.broadcast(files.select(F.col("file").alias("path")))
+        found.append(by_terms(nodes.join(inside, "path", "left_semi"), terms).drop("excerpt"))
     if chunk_vectors is not None:
         found.append(semantic(chunk_vectors, working, query, keep, more))
         if query.intent == "conceptual":
-            found.append(fanout(found[-1], calls))
+            found.append(fanout(checkpoint(found[-1]), calls, nodes))
     hits = fusion.union(*found).withColumn("score", fusion.normalise(F.col("score"), F.col("kind"), len(terms)))
     hits = hits.withColumn("q", F.lit(0)).withColumn("intent", F.lit(query.intent))
     fused = fusion.critic(fusion.weighted_rrf(hits, ["q"]))

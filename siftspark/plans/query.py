@@ -9,6 +9,7 @@ MODES = ("callers", "defs", "imports", "pattern", "literal", "regex", "word")
 MAX_QUERY, MAX_GLOB, DEFAULT_LIMIT, MAX_LIMIT = 4096, 1024, 16, 1000
 # Words that say nothing about what is sought (fixed values).
 STOP = frozenset("a an and are at be by do does for from how in into is it of on or that the this to what when where which who why with".split())
+# Marks that make a query structural (fixed values).
 STRUCTURAL = ("{", ";", "=>", "->", "($", "$_", "$$")
 
 

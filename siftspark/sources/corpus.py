@@ -59,9 +59,35 @@ class Ignore:
         return False
 
 
+def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> dict[str, str]:
+    """The ignore files of a tree by folder; their number is that of the tree's folders at most, and they are small."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    base = str(Path(root).resolve()).rstrip("/") + "/"
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base), "")
+    rows = raw.filter(F.col("length") <= 1 << 20).select(F.regexp_replace(rel, r"/?[^/]*$", "").alias("folder"), F.col("content").cast("string").alias("t"))
+    return {r["folder"]: r["t"] for r in rows.toLocalIterator()}
+
+
+def gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Judged queries and judged edges of a JSON file: ``(name, query, k, gold_id, file, symbol)``, ``(name, query, k, file, caller, callee, line)``.
+
+    A file with neither is an error.
+    """
+    ref = "array<struct<file:string,symbol:string,caller:string,callee:string,line:int>>"
+    one = f"array<struct<name:string,query:string,k:int,relevant:{ref}>>"
+    raw = spark.read.schema(f"corpus string, queries {one}, graph_edges {one}").option("multiLine", "true").json(path)
+    flat = lambda c: raw.select(F.inline(c)).select("name", "query", "k", F.posexplode("relevant").alias("gold_id", "r"))
+    queries = flat("queries").select("name", "query", "k", "gold_id", "r.file", "r.symbol")
+    edges = flat("graph_edges").select("name", "query", "k", "r.file", "r.caller", "r.callee", "r.line")
+    if queries.isEmpty() and edges.isEmpty():
+        raise ValueError("the file holds no judged query and no judged edge")
+    return queries, edges
+
+
 def tree(spark: SparkSession, root: str, ignores: dict[str, str] | None = None) -> DataFrame:
     """``path, language, content, content_hash, mtime`` of the text files below ``root``.
 
+    Without ``ignores`` the tree's own ignore files are read.
     Hidden files, unknown extensions, ignored paths, files over the size cap and files that
     are not UTF-8 are left out; the cap is applied before a content is read.
     """
@@ -70,7 +96,8 @@ def tree(spark: SparkSession, root: str, ignores: dict[str, str] | None = None)
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base), "")
     rows = raw.filter(F.col("length") <= MAX_BYTES).select(rel.alias("path"), "content", F.col("modificationTime").alias("mtime"))
     rows = rows.filter(extension(F.col("path")).isin(*EXTENSIONS, *TEXTS) & ~F.col("path").rlike(r"(^|/)\."))
-    hidden = Ignore(ignores or {})
+    ignores = ignore_files(spark, root) if ignores is None else ignores
+    hidden = Ignore(ignores)
 
     @F.pandas_udf(T.BooleanType())
     def ignored(paths: pd.Series) -> pd.Series:
