@@ -193,7 +193,9 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
         return spark.createDataFrame([], f"{key} {key_type}, {item_key} {item_type}")
     q = max(1, min(q, r[0] // (edits + 1)))
     # a passage holds a part as long as the shortest window, in which at least ``least`` of ``tight`` positions pass
-    least, tight, width, band = max(1, r[0] + 1 - q * (edits + 1)), r[0] + edits - q + 1, r[1] + edits, max(2 * edits, 16)
+    least, tight, width = max(1, r[0] + 1 - q * (edits + 1)), r[0] + edits - q + 1, r[1] + edits
+    # the diagonals of a passage differ by at most ``edits``: such a range lies in a band of 2 e + 1 that begins at a multiple of e + 1
+    step = edits + 1
     bits = int(min(MAX_BITS, max(16, np.ceil(np.log2(16 * r[2])))))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,8 +245,10 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
     held = read.mapInPandas(find, f"k {key_type}, seg string, hs array<long>, ps array<int>")
     held = checkpoint(held.withColumn("sid", F.monotonically_increasing_id()))
     hits = held.select("sid", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("pos")))).join(grams, "h").withColumn("diag", F.col("pos") - F.col("place"))
-    banded = hits.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(band)))).withColumn("band", F.floor((F.col("diag") + F.col("shift")) / (2 * band)))
-    counted = banded.groupBy("sid", "iid", "shift", "band").agg(F.count_distinct("pos").alias("n"), F.min("diag").alias("low"), F.max("diag").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    home = F.floor(F.col("diag") / step)
+    bands = F.when(F.pmod("diag", F.lit(step)) < edits, F.array(home, home - 1)).otherwise(F.array(home))
+    banded = hits.withColumn("band", F.explode(bands))
+    counted = banded.groupBy("sid", "iid", "band").agg(F.count_distinct("pos").alias("n"), F.min("diag").alias("low"), F.max("diag").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     bound = F.greatest(F.lit(1), F.col("shortest") + 1 - q * (edits + 1))
     regions = counted.join(known, "iid").filter(F.col("n") >= bound).join(held.select("sid", "k", "seg"), "sid").select("k", "item", "seg", "t", "low", "high", "first", "last")
 
