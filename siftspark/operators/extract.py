@@ -114,6 +114,7 @@ def scan(text: str, language: str) -> list[Node]:
     if not rules:
         return []
     masked, out = mask(text, language), []
+    named_at: set[int] = set()  # where the names of declared functions stand
     classes: list[Node] = []
     for m in re.finditer(rules[1], masked, re.MULTILINE):
         end = _end_keyword(masked, masked.rfind("\n", 0, m.start()) + 1) if language == "ruby" else _close(masked, m.end())
@@ -125,6 +126,7 @@ def scan(text: str, language: str) -> list[Node]:
         if not name or name in NOT_CALLS:
             continue
         line = masked.rfind("\n", 0, m.start()) + 1
+        named_at.add(next(m.start(g) for g in range(1, (m.lastindex or 0) + 1) if m.group(g)))
         begin = m.start() + len(m.group()) - len(m.group().lstrip())
         open_ = masked.find("{", m.start())
         end = _end_keyword(masked, line) if language == "ruby" else _close(masked, m.start()) if open_ >= 0 else m.end()
@@ -135,10 +137,9 @@ def scan(text: str, language: str) -> list[Node]:
         stop = masked.find(")", paren) if paren >= 0 else -1
         out.append(Node(kind, name, begin, end, args, _statements(inside), inner=(paren + 1, stop) if stop > 0 else (0, 0), block=(open_ + 1, end - 1) if language != "ruby" and open_ >= 0 else (m.end(), max(m.end(), end - 3))))
     out += classes
-    declared = {n.start for n in out}
     for m in re.finditer(r"(?<![\w$])((?:[A-Za-z_$][\w$]*(?:\.|::|->))*)([A-Za-z_$][\w$]*[!?]?)\s*\(", masked):
         before = masked[max(0, m.start() - 12) : m.start()]
-        if m.group(2) in NOT_CALLS or re.search(r"\b(?:fn|func|fun|function|def)\s+(?:self\.)?$", before) or any(n.name == m.group(2) and n.start <= m.start() <= n.start + 200 and masked[n.start : m.start()].count("\n") == 0 and n.kind in ("function", "method") for n in out if n.start in declared):
+        if m.group(2) in NOT_CALLS or re.search(r"\b(?:fn|func|fun|function|def)\s+(?:self\.)?$", before) or m.start(2) in named_at:
             continue
         depth, k = 0, m.end() - 1
         while k < len(masked):

@@ -49,7 +49,7 @@ def is_comment(language: Column, content: Column) -> Column:
     """Is the line a comment of the language?"""
     text = F.ltrim(content)
     hashes = language.isin("python", "ruby")
-    return F.when(hashes, text.startswith("#")).otherwise(text.rlike(r"^(?://|/\\*|\\*)") | ((language == "php") & text.startswith("#")))
+    return F.when(hashes, text.startswith("#")).otherwise(text.rlike(r"^(?://|/\*|\*)") | ((language == "php") & text.startswith("#")))
 
 
 def doc_above(symbols: DataFrame, lines: DataFrame, most: int = DOC_LINES) -> DataFrame:
@@ -59,7 +59,7 @@ def doc_above(symbols: DataFrame, lines: DataFrame, most: int = DOC_LINES) -> Da
     held = near.join(lines.select("path", "line_no", "content", is_comment(F.col("language"), F.col("content")).alias("is")), ["path", "line_no"])
     upto = Window.partitionBy("path", "line_start").orderBy("back").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = held.withColumn("all", F.min(F.col("is").cast("int")).over(upto)).withColumn("n", F.count("*").over(upto)).filter("all = 1 AND n = back")
-    text = F.trim(F.regexp_replace(F.regexp_replace("content", r"^\\s*(?:///?!?|//!|#+!?|/\\*+!?|\\*+/?)\\s?", ""), r"\\s*\\*+/\\s*$", ""))
+    text = F.trim(F.regexp_replace(F.regexp_replace("content", r"^\s*(?:///?!?|//!|#+!?|/\*+!?|\*+/?)\s?", ""), r"\s*\*+/\s*$", ""))
     lines_ = F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))), lambda x: x.t)
     return kept.groupBy("path", "line_start").agg(F.trim(F.array_join(lines_, "\n")).alias("doc"))
 

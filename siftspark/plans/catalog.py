@@ -124,7 +124,16 @@ def lexical_rrf(spark: SparkSession, d: str) -> DataFrame:
     return best.select("path", "line_no", F.round(lexical.rrf(F.col("rank")) * lexical.SCALE, 6).alias("score"))
 
 
-@query()
+def _ranked_sql(name: str, word: str, terms: str) -> str:
+    return f"""{name}t AS (SELECT path, line_no, regexp_extract_all(lower(content), '{word}') AS t FROM l),
+{name}s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}t),
+{name}m AS (SELECT path, line_no, dl, term, count(*) AS tf FROM (SELECT path, line_no, len(t) AS dl, unnest(t) AS term FROM {name}t) WHERE term IN ({terms}) GROUP BY ALL),
+{name}q AS (SELECT term, count(*) AS df FROM {name}m GROUP BY term),
+{name}b AS (SELECT path, line_no, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM {name}m JOIN {name}q USING (term), {name}s GROUP BY path, line_no),
+{name}r AS (SELECT path, line_no, row_number() OVER (ORDER BY score DESC, path, line_no) AS r FROM {name}b ORDER BY score DESC, path, line_no LIMIT 100)"""
+
+
+@query(", " + _ranked_sql("c", "[\\p{L}\\p{N}_]+", "'rotated', 'tries'") + ", " + _ranked_sql("p", "[\\p{L}\\p{N}]+", "'rotated', 'tries'") + " SELECT path, line_no, round(sum(1.0::DOUBLE / (60 + r)) * 200, 6) AS score FROM (SELECT * FROM cr UNION ALL SELECT * FROM pr WHERE (SELECT count(*) FROM cr) < 100) GROUP BY path, line_no ORDER BY score DESC, path, line_no LIMIT 100")
 def lexical_fallback_union(spark: SparkSession, d: str) -> DataFrame:
     return lexical.lexical(facts.lines(spark, d), ["rotated", "tries"])
 
@@ -253,11 +262,32 @@ def chain_depth2(spark: SparkSession, d: str) -> DataFrame:
     return graph.chain(seeds, graph.file_edges(facts.calls(spark, d), own), depth=2)
 
 
-@query()
-def call_path_shortest(spark: SparkSession, d: str) -> DataFrame:
+_PATHS = """, ed AS (SELECT DISTINCT lower(caller) AS a, lower(callee) AS b FROM e WHERE lower(caller) <> lower(callee)),
+un AS (SELECT lower(name) AS n FROM s GROUP BY 1 HAVING count(*) = 1),
+tw AS (SELECT x.a, x.b AS via, y.b FROM ed x JOIN un ON un.n = x.b JOIN ed y ON y.a = x.b WHERE y.b <> x.a AND NOT EXISTS (SELECT 1 FROM ed z WHERE z.a = x.a AND z.b = y.b)),
+pk AS (SELECT a, b, min(via) AS via FROM tw GROUP BY a, b ORDER BY a, b LIMIT 1)
+"""
+
+
+def _two_hops(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str, str]:
+    """The facts, and the first two names that are two calls apart and not one."""
     calls, own = facts.calls(spark, d), facts.symbols(spark, d)
-    ends = calls.filter("caller IS NOT NULL").groupBy().agg(F.min("caller").alias("a"), F.max("callee").alias("b")).first()
-    return graph.call_path(calls, own, ends["a"] or "", ends["b"] or "")
+    edge = calls.select(facts.ascii_lower(F.col("caller")).alias("a"), facts.ascii_lower(F.col("callee")).alias("b")).filter("a <> b").distinct()
+    unique = own.groupBy(facts.ascii_lower(F.col("name")).alias("b")).agg(F.count("*").alias("n")).filter("n = 1").select("b")
+    far = edge.join(unique, "b", "left_semi").join(edge.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").filter("a <> c")
+    ends = far.join(edge.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti").orderBy("a", "c").select("a", "c").first()
+    return calls, own, *(ends or ("", ""))
+
+
+@query(_PATHS + "SELECT 1 AS hop, a AS caller, via AS callee FROM pk UNION ALL SELECT 2, via, b FROM pk")
+def call_path_shortest(spark: SparkSession, d: str) -> DataFrame:
+    return graph.call_path(*_two_hops(spark, d))
+
+
+@query(_PATHS + ", hp AS (SELECT 1 AS hop, a AS caller, via AS callee FROM pk UNION ALL SELECT 2, via, b FROM pk), df AS (SELECT lower(name) AS low, count(*) AS n FROM s GROUP BY 1) SELECT hop, caller, callee, CASE WHEN n = 1 THEN 'repository_unique' WHEN n > 1 THEN 'ambiguous' ELSE 'name_only' END AS resolution FROM hp LEFT JOIN df ON df.low = lower(callee)")
+def call_path_hops(spark: SparkSession, d: str) -> DataFrame:
+    found = _two_hops(spark, d)
+    return graph.hops(graph.call_path(*found), found[1]).select("hop", "caller", "callee", "resolution")
 
 
 # --- fusion over many queries -------------------------------------------------------------
@@ -550,7 +580,7 @@ def module_resolution(spark: SparkSession, d: str) -> DataFrame:
     return chunks.resolve_imports(symbols.import_edges(facts.lines(spark, d)), facts.files(spark, d))
 
 
-@query()
+@query("""SELECT path, sha256('[' || string_agg('"' || h || '"', ',' ORDER BY h) || ']') AS structure FROM (SELECT path, sha256('{"kind":"' || kind || '","line_end":' || line_end || ',"line_start":' || line_start || ',"name":"' || name || '"}') AS h FROM s) GROUP BY path""")
 def structure_hash(spark: SparkSession, d: str) -> DataFrame:
     return chunks.structure_hash(facts.symbols(spark, d).select("path", "name", "kind", "line_start", "line_end"))
 

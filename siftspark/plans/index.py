@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators import chunks, lexical, lexicon, symbols
+from siftspark.operators import chunks, extract, lexical, lexicon, structure, symbols
 from siftspark.sources import facts
 from siftspark.streaming import generations
 
@@ -33,6 +33,7 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "files": facts.files(spark, folder), "lines": lines.repartitionByRange("path", "line_no").sortWithinPartitions("path", "line_no"),
         "symbols": facts.symbols(spark, folder), "calls": facts.calls(spark, folder), "chunks": own, "imports": symbols.import_edges(lines),
         "postings": postings.repartition("bucket").sortWithinPartitions("bucket", "term"), "statistics": lexical.statistics(lines),
+        "nodes": structure.nodes(extract.extract(facts.sources(spark, folder))).repartitionByRange("signature").sortWithinPartitions("signature"),
         "associations": lexicon.top(lexicon.ppmi(lexicon.observations(own.filter("symbol_name IS NOT NULL")))),
         "texts": own.select("path", "line_start", "line_end", "symbol_name", chunks.rendered().alias("text")),
     }

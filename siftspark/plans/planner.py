@@ -87,6 +87,53 @@ def compact(hits: list[dict], snippet: int = 96) -> dict:
     return {"paths": {v: k for k, v in paths.items()}, "hits": rows}
 
 
+def cut(text: str, budget: int) -> str:
+    """The text within a budget of bytes, cut at a character."""
+    raw = text.encode()
+    return text if len(raw) <= budget else raw[:budget].decode(errors="ignore")
+
+
+def fold_roots(paths: list[str]) -> tuple[dict[str, str], list[str]]:
+    """Common folders as short names, as long as the whole gets shorter: ``(roots, paths with them)``."""
+    roots: dict[str, str] = {}
+    now = list(paths)
+    size = lambda r, p: len(json.dumps([r, p], ensure_ascii=False).encode())
+    while True:
+        heads = {p[: k + 1] for p in now for k, c in enumerate(p) if c == "/" and not p.startswith("@")}
+        name = f"@{len(roots)}/"
+        trials = [(size(roots | {name: h}, [name + p[len(h) :] if p.startswith(h) else p for p in now]), h) for h in sorted(heads)]
+        if not trials or min(trials)[0] >= size(roots, now):
+            return roots, now
+        best = min(trials)[1]
+        roots[name] = best
+        now = [name + p[len(best) :] if p.startswith(best) else p for p in now]
+
+
+def utf16(text: str, line: int, character: int) -> int:
+    """The offset in ``text`` of an editor's position (line and UTF-16 unit, both from 0)."""
+    lines = text.split("\n")
+    line = max(0, min(line, len(lines) - 1))
+    units, k = 0, 0
+    for k, c in enumerate(lines[line]):
+        if units >= character:
+            break
+        units += 2 if ord(c) > 0xFFFF else 1
+    else:
+        k = len(lines[line])
+    return sum(len(x) + 1 for x in lines[:line]) + k
+
+
+def identifier_at(text: str, offset: int) -> str | None:
+    """The name that the offset stands in or behind."""
+    word = lambda c: c.isalnum() or c in "_$"
+    a = b = offset
+    while a > 0 and word(text[a - 1]):
+        a -= 1
+    while b < len(text) and word(text[b]):
+        b += 1
+    return text[a:b] or None
+
+
 def render(hits: list[dict], form: str = "native", query: str = "") -> str:
     if form == "lines":
         return "\n".join(line(h) for h in hits)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftspark.sources import files as store
+
 MAX_BYTES = 64 << 20
 EXTENSIONS = {
     "py": "python", "pyi": "python", "rs": "rust", "go": "go", "java": "java", "cs": "csharp", "rb": "ruby", "swift": "swift", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
@@ -61,11 +63,7 @@ class Ignore:
 
 def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> dict[str, str]:
     """The ignore files of a tree by folder; their number is that of the tree's folders at most, and they are small."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
-    base = str(Path(root).resolve()).rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base), "")
-    rows = raw.filter(F.col("length") <= 1 << 20).select(F.regexp_replace(rel, r"/?[^/]*$", "").alias("folder"), F.col("content").cast("string").alias("t"))
-    return {r["folder"]: r["t"] for r in rows.toLocalIterator()}
+    return {f.rpartition("/")[0]: store.read_text(spark, f"{root}/{f}") for f in store.find(spark, root, name)}
 
 
 def gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

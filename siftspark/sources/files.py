@@ -23,6 +23,17 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def find(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The paths, relative to ``root``, of the files of one name below it, hidden ones too."""
+    fs, p = _path(spark, root)
+    base, out, found = str(fs.makeQualified(p)).rstrip("/") + "/", [], fs.listFiles(p, True)
+    while found.hasNext():
+        f = found.next().getPath()
+        if f.getName() == name:
+            out.append(str(f)[len(base) :])
+    return sorted(out)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _path(spark, path)
     if not fs.exists(p):

@@ -110,10 +110,10 @@ def test_tree(spark, tmp_path):
 def test_generations(spark, tmp_path):
     root = str(tmp_path / "g")
     one = spark.createDataFrame([("a", "h1"), ("d/x", "h2")], "path string, content_hash string")
-    assert generations.publish(root, {"files": one}) == 1
+    assert generations.publish(spark, root, {"files": one}) == 1
     new = spark.createDataFrame([("a", "h3")], "path string, content_hash string")
     gone = spark.createDataFrame([("d",)], "path string")
-    generations.publish(root, {"files": generations.upsert(generations.read(spark, root, "files"), new, gone)})
+    generations.publish(spark, root, {"files": generations.upsert(generations.read(spark, root, "files"), new, gone)})
     assert [tuple(r) for r in generations.read(spark, root, "files").collect()] == [("a", "h3")]
     assert generations.read(spark, root, "files", 1).count() == 2
 
