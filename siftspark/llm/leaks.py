@@ -10,9 +10,10 @@ diagonal band.
 2. The documents are read once, whatever the number of items: a vectorised rolling hash
    gives their q-grams, and the stretches in which enough of them pass the filter are
    kept. All else of the documents is left where it is.
-3. The q-grams of the stretches are joined with those of the items and counted in
-   overlapping diagonal bands; bands that reach the bound of the item's shortest window
-   are regions.
+3. The q-grams of the stretches are joined with every ``m``-th of the items' q-grams and
+   counted in overlapping diagonal bands; bands that reach the bound of the item's shortest
+   window are regions. Of the ``w - q + 1`` q-grams of a passage that share is sampled, and
+   an edit spoils at most ``q / m`` of those (rounded up), which gives the bound.
 4. Regions are verified by a banded alignment, vectorised over the windows of the item;
    without edits an exact comparison of the words follows.
 """
@@ -34,6 +35,7 @@ from siftspark.sources.tables import table
 MIN_WORDS = 10
 MAX_BITS = 28  # the filter has at most 2^28 bits
 CHUNKS = 64  # pieces in which the filter is put together
+SAMPLES = 4  # sampled q-grams that a passage must keep
 SLICE_CHARS = 4_000_000  # characters of documents hashed at once
 _CF = regex.compile(r"\p{Cf}+")
 _WORD = regex.compile(r"[\p{L}\p{Nd}]+")
@@ -196,6 +198,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
     least, tight, width = max(1, r[0] + 1 - q * (edits + 1)), r[0] + edits - q + 1, r[1] + edits
     # the diagonals of a passage differ by at most ``edits``: such a range lies in a band of 2 e + 1 that begins at a multiple of e + 1
     step = edits + 1
+    sampled = lambda w, m: (w - q + 1) // m - edits * -(-q // m)  # noqa: E731 - what a passage of w characters keeps of every m-th q-gram
+    every = max((m for m in range(1, r[0] - q + 2) if sampled(r[0], m) >= SAMPLES), default=1)
     bits = int(min(MAX_BITS, max(16, np.ceil(np.log2(16 * r[2])))))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,12 +248,12 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
     read = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL AND t <> ''")
     held = read.mapInPandas(find, f"k {key_type}, seg string, hs array<long>, ps array<int>")
     held = checkpoint(held.withColumn("sid", F.monotonically_increasing_id()))
-    hits = held.select("sid", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("pos")))).join(grams, "h").withColumn("diag", F.col("pos") - F.col("place"))
+    hits = held.select("sid", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("pos")))).join(grams.filter(F.col("place") % every == 0), "h").withColumn("diag", F.col("pos") - F.col("place"))
     home = F.floor(F.col("diag") / step)
     bands = F.when(F.pmod("diag", F.lit(step)) < edits, F.array(home, home - 1)).otherwise(F.array(home))
     banded = hits.withColumn("band", F.explode(bands))
     counted = banded.groupBy("sid", "iid", "band").agg(F.count_distinct("pos").alias("n"), F.min("diag").alias("low"), F.max("diag").alias("high"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    bound = F.greatest(F.lit(1), F.col("shortest") + 1 - q * (edits + 1))
+    bound = F.greatest(F.lit(1), F.floor((F.col("shortest") - q + 1) / every) - edits * -(-q // every))
     regions = counted.join(known, "iid").filter(F.col("n") >= bound).join(held.select("sid", "k", "seg"), "sid").select("k", "item", "seg", "t", "low", "high", "first", "last")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,8 +264,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, q: int
                 near = (start + size + high + edits >= first - width) & (start + low - edits <= last + q + width)
                 ok = bool(near.any()) and bool(aligned(_codes(t), start[near], size[near], _codes(seg), int(low), int(high), edits).any())
                 if ok and not edits:  # the equal characters must be whole words
-                    lo = seg.rfind(" ", 0, max(0, int(first)) + 1) + 1
-                    hi = seg.find(" ", min(len(seg), int(last) + q - 1))
+                    lo = seg.rfind(" ", 0, max(0, int(first) - width) + 1) + 1
+                    hi = seg.find(" ", min(len(seg), int(last) + q + width))
                     ok = shares_words(seg[lo : hi if hi >= 0 else len(seg)], t, min_words)
                 good.append(ok)
             out = f.loc[good, ["k", "item"]]
