@@ -105,6 +105,10 @@ def aligned(item: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.nd
     """
     diag = np.arange(low - edits, high + edits + 1)
     padded = np.concatenate([np.zeros(1, text.dtype), text, np.zeros(1, text.dtype)])  # 0 matches nothing
+    if len(diag) == 1:  # a band of one diagonal has no gaps: the cost of a window is its number of mismatches
+        place = np.clip(np.arange(len(item)) + low + 1, 0, len(padded) - 1)
+        cost = np.concatenate([[0], np.cumsum(padded[place] != item)])
+        return cost[np.minimum(starts + sizes, len(item))] - cost[starts] <= edits
     cost = np.zeros((len(starts), len(diag)), np.int16)
     out = np.zeros(len(starts), bool)
     for i in range(int(sizes.max(initial=0)) + 1):
