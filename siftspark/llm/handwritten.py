@@ -58,12 +58,15 @@ def classify(files: DataFrame, lines: DataFrame, containment: float = 0.8, min_l
     file = once.select("file_id", _path(F.col("f.path")).alias("path"), "f.repo", "f.mtime").filter(ext.isin(SOURCE))
     text = F.trim(F.translate(F.coalesce("content", F.lit("")), "\t\r", "  "))
     comment = F.col("t").rlike(r"^(?://|#(?!include|define|if|el|endif|pragma|undef|\[|!\[)|/\*|\*|--|<!--|;;|\"\"\"|''')")
-    stub = F.regexp_extract("t", r"^(?:return )?(\d{1,9});?$", 1)
+    # what encoded data must hold, in cheap tests: seven commas, an escape, or a long run of one alphabet
+    commas = F.length("t") - F.length(F.translate("t", ",", "")) >= 7
+    coded = (F.length("t") >= 20) & (commas | F.col("t").contains("\\x") | ((F.length("t") >= 40) & F.col("t").rlike(r"[A-Za-z0-9+/=]{40}")))
+    stub = F.when(F.length("t") <= 17, F.regexp_extract("t", r"^(?:return )?(\d{1,9});?$", 1)).otherwise("")
     lean = lines.filter("file_id IS NOT NULL AND line_no IS NOT NULL").select("file_id", "line_no", text.alias("t")).filter("t <> ''")
     lean = lean.select(
         "file_id", "line_no", F.length("t").alias("n"), F.when(F.length("t") >= 16, F.xxhash64("t")).alias("h"), comment.alias("comment"),
         (comment & F.col("t").rlike(_GEN)).alias("gen"), (comment & F.col("t").rlike(_TP)).alias("tp"), F.col("t").rlike(r"^(?:<\?php|#!)").alias("open"),
-        F.when(F.length("t") >= 20, F.length("t") - F.length(F.regexp_replace("t", _DATA, ""))).otherwise(0).alias("data"),
+        F.when(coded, F.length("t") - F.length(F.regexp_replace("t", _DATA, ""))).otherwise(0).alias("data"),
         F.when(F.length("t") > LONG, F.length("t") - F.length(F.translate("t", " ", ""))).otherwise(0).alias("blanks"),
         F.when(stub != "", stub.cast("long")).alias("stub"), F.col("t").contains("sourceMappingURL=").alias("map"),
     )
