@@ -650,10 +650,10 @@ def _siblings(tokens: list[tuple[str, int]]) -> set[tuple[str, str]]:
 
 
 def permissible(spark: SparkSession) -> DataFrame:
-    """The table ``language, left, right`` of the grammars; its size does not depend on the data."""
-    rows = [(lang, a, b) for lang in GRAMMARS for a, b in pairs(lang)]
-    rows += [("python", "#" + a, "#" + b) for b, many in _PY_NEXT.items() for a in many]
-    return spark.createDataFrame(rows, "language string, left string, right string")
+    """The table ``language, pair`` of the grammars (two classes with a blank between); its size does not depend on the data."""
+    rows = [(lang, f"{a} {b}") for lang in GRAMMARS for a, b in pairs(lang)]
+    rows += [("python", f"#{a} #{b}") for b, many in _PY_NEXT.items() for a in many]
+    return spark.createDataFrame(rows, "language string, pair string")
 
 
 def texts(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -687,23 +687,23 @@ def invalid(files: DataFrame, lines: DataFrame, exact: bool = True) -> DataFrame
                 tokens = lex(text, lang)
                 bad = next((t for t, _ in tokens if t.startswith("bad:")), None)
                 if bad:
-                    rows.append((file_id, lang, ["BOF", bad], [], [], [], []))
+                    rows.append((file_id, lang, f"BOF {bad.split(' ')[0]}", [], [], [], []))
                     continue
                 stream, marks, shapes = facts(tokens, lang)
-                heads = [x for pair in _siblings(tokens) for x in pair] if lang == "python" else []
-                rows.append((file_id, lang, stream, heads, [sign[0] + kind for sign, kind in marks], list(shapes), list(_tops(tokens, lang))))
+                heads = [f"{a} {b}" for a, b in _siblings(tokens)] if lang == "python" else []
+                rows.append((file_id, lang, " ".join(stream), heads, [sign[0] + kind for sign, kind in marks], list(shapes), list(_tops(tokens, lang))))
             if rows:
                 yield pd.DataFrame(rows, columns=["file_id", "language", "tokens", "heads", "marks", "stmt", "top"])
 
     many = "array<string>"
-    out = source.select("file_id", "language", "text").mapInPandas(run, f"file_id long, language string, tokens {many}, heads {many}, marks {many}, stmt {many}, top {many}")
+    out = source.select("file_id", "language", "text").mapInPandas(run, f"file_id long, language string, tokens string, heads {many}, marks {many}, stmt {many}, top {many}")
     out = checkpoint(out)
     # adjacent tokens that no rule of the grammar permits; a file's distinct pairs are formed within its row
-    pair = lambda x, y: F.struct(x.alias("left"), y.alias("right"))
-    beside = F.array_distinct(F.zip_with(F.slice("tokens", 1, F.size("tokens") - 1), F.slice("tokens", 2, F.size("tokens") - 1), pair))
-    depend = F.transform(F.sequence(F.lit(1), F.size("heads") - 1, F.lit(2)), lambda i: pair(F.element_at("heads", i), F.element_at("heads", i + 1)))
-    adjacent = out.select("file_id", "language", F.inline(beside)).unionByName(out.filter(F.size("heads") > 0).select("file_id", "language", F.inline(depend)))
-    wrong = adjacent.join(F.broadcast(permissible(spark)), ["language", "left", "right"], "left_anti").select("file_id")
+    row = out.select("file_id", "language", "heads", F.split("tokens", " ").alias("t"))
+    n = F.size("t") - 1
+    beside = F.zip_with(F.slice("t", 1, n), F.slice("t", 2, n), lambda x, y: F.concat(x, F.lit(" "), y))
+    adjacent = row.select("file_id", "language", F.explode(F.array_distinct(F.concat(beside, "heads"))).alias("pair"))
+    wrong = adjacent.join(F.broadcast(permissible(spark)), ["language", "pair"], "left_anti").select("file_id")
     # nesting
     by_file = Window.partitionBy("file_id").orderBy("seq")
     nest = out.select("file_id", F.posexplode("marks").alias("seq", "m")).select("file_id", "seq", F.when(F.col("m").startswith("o"), "open").otherwise("close").alias("tag"), F.substring("m", 2, 16).alias("left"))
