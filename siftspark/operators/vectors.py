@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -86,21 +85,49 @@ def expand_concepts(text: str) -> str:
     return f"{text} {' '.join(sorted(more | own))}"
 
 
-@lru_cache(maxsize=200_000)
-def _signs(feature: str) -> np.ndarray:
-    raw = np.frombuffer(hashlib.shake_256(feature.encode()).digest(DIM), np.uint8)
-    return np.where(raw & 1, 1.0, -1.0).astype(np.float32)
+KEPT = 65_536  # sign rows that a worker keeps (256 bytes each)
+
+
+class _Signs:
+    """The sign row of each feature, one byte a dimension, in one table that is emptied when full."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.table = np.empty((1024, DIM), np.int8)
+
+    def rows(self, features: list[str]) -> np.ndarray:
+        if len(self.place) + len(features) > max(KEPT, len(features)):
+            self.place.clear()
+        at = np.empty(len(features), np.int64)
+        for k, f in enumerate(features):
+            i = self.place.get(f)
+            if i is None:
+                i = self.place[f] = len(self.place)
+                if i >= len(self.table):
+                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                raw = np.frombuffer(hashlib.shake_256(f.encode()).digest(DIM), np.uint8)
+                self.table[i] = np.where(raw & 1, 1, -1)
+            at[k] = i
+        return self.table[at]
+
+
+_SIGNS = _Signs()
 
 
 def embed_text(text: str) -> list[float]:
-    """A hashed vector: a random sign per feature and dimension, words weigh 1 and byte trigrams 0.35."""
+    """A hashed vector: a random sign per feature and dimension, words weigh 1 and byte trigrams 0.35.
+
+    The features of a text and how often they occur are one product with their table of signs.
+    """
     full = expand_concepts(text)
-    out = np.zeros(DIM, np.float32)
-    for w in _words(full):
-        out += _signs("tok:" + w)
-    flat = "".join(c for c in full.lower() if c.isalnum()).encode()
-    for i in range(len(flat) - 2):
-        out += np.float32(0.35) * _signs("tri:" + flat[i : i + 3].hex())
+    words = _words(full)
+    flat = np.frombuffer("".join(c for c in full.lower() if c.isalnum()).encode(), np.uint8).astype(np.uint32)
+    codes, often = np.unique((flat[:-2] << 16) | (flat[1:-1] << 8) | flat[2:], return_counts=True) if len(flat) > 2 else (np.zeros(0, np.uint32), np.zeros(0))
+    features = [*(f"tok:{w}" for w in words), *(f"tri:{c:06x}" for c in codes.tolist())]
+    if not features:
+        return [0.0] * DIM
+    weight = np.concatenate([np.ones(len(words)), 0.35 * often]).astype(np.float32)
+    out = weight @ _SIGNS.rows(features).astype(np.float32)
     size = float(np.linalg.norm(out))
     return (out / size if size else out).tolist()
 
@@ -156,3 +183,15 @@ def ivf_search(assigned: DataFrame, query: list[float], key: str, vector: str, c
     q = np.array(query, float)
     cells = [int(i) for i in np.argsort(-(centroids @ q), kind="stable")[:p]]
     return nearest(assigned.filter(F.col("cell").isin(cells)), query, key, vector, k)
+
+
+def with_lines(chunk_vectors: DataFrame, line_vectors: DataFrame, most: int = 5000) -> DataFrame:
+    """Chunk vectors, and line vectors of an older index for files that have no chunks, ``most`` of them in order."""
+    old = line_vectors.join(chunk_vectors.select("path").distinct(), "path", "left_anti").orderBy("path", "line_start").limit(most)
+    return chunk_vectors.unionByName(old, allowMissingColumns=True)
+
+
+def fingerprint(vectors: DataFrame, key: str, vector: str) -> str:
+    """One text for the content of a vector table, whatever the order of its rows."""
+    r = vectors.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(key, vector)).alias("x"), F.sum(F.xxhash64(vector, key).bitwiseAND(0xFFFFFFFF)).alias("s")).first()
+    return f"{r['n']}:{(r['x'] or 0) & 0xFFFFFFFFFFFFFFFF:x}:{r['s'] or 0:x}"

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.operators import chunks, extract, lexical, lexicon, structure, symbols
+from siftspark.operators import chunks, extract, lexical, lexicon, structure, symbols, vectors
+from siftspark.session import checkpoint
 from siftspark.sources import facts
 from siftspark.streaming import generations
 
@@ -78,3 +79,45 @@ def open_index(spark: SparkSession, root: str, model: str = MODEL) -> Index:
 def over(spark: SparkSession, folder: str) -> Index:
     """The same tables straight from a data folder, for searches without a published index."""
     return Index(spark, None, 0, folder)
+
+
+SAMPLE = 16_384  # vectors on which the inverted file's centroids are fitted
+
+
+def build_vectors(spark: SparkSession, texts: DataFrame, root: str) -> int:
+    """Embed the chunk texts (``path, line_start, line_end, symbol_name, text``) and publish their inverted file.
+
+    Tables ``vectors`` (with their cell, a folder each) and ``centroids`` (at most 256 rows); the
+    identity holds the model and a fingerprint of the vectors, so a stale file is noticed.
+    """
+    import numpy as np
+
+    own = checkpoint(texts.withColumn("id", F.xxhash64("path", "line_start", "symbol_name", "text")).withColumn("vector", vectors.embed_hashed("text")))
+    n = own.count()
+    sample = own.filter(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))) < SAMPLE).orderBy("id").select("vector").toPandas()["vector"]
+    c = vectors.ivf_fit(np.array(sample.tolist(), float), n) if len(sample) else np.zeros((1, vectors.DIM))
+    cells = own.join(vectors.ivf_assign(own.select("id", "vector").dropDuplicates(["id"]), "id", "vector", c).select("id", "cell"), "id")
+    centroids = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(c)], "cell int, centroid array<double>")
+    identity = f"{MODEL}:{vectors.fingerprint(own, 'id', 'vector')}"
+    return generations.publish(spark, root, {"vectors": cells, "centroids": centroids}, identity, None, {"vectors": ["cell"]})
+
+
+def semantic(spark: SparkSession, root: str, text: str, k: int = 50, probes: int | None = None) -> DataFrame:
+    """The ``k`` chunks nearest to a text: ``path, line_start, line_end, symbol_name, sim``.
+
+    From two thousand vectors on the nearest cells are read, by default nine tenths of them; below, all.
+    """
+    import numpy as np
+
+    from siftspark.plans.search import use_ann
+
+    state = generations.pointer(spark, root)
+    if state["identity"].split(":", 1)[0] != MODEL:
+        raise generations.IdentityError(f"the index holds vectors of {state['identity']!r}, not of {MODEL!r}")
+    held, q = generations.read(spark, root, "vectors"), np.array(vectors.embed_text(text))
+    if use_ann(int(state["identity"].split(":")[1]), None):
+        c = generations.read(spark, root, "centroids").orderBy("cell").toPandas()
+        near = np.argsort(-(np.array(c["centroid"].tolist()) @ q), kind="stable")[: probes or max(1, int(0.9 * len(c)))]
+        held = held.filter(F.col("cell").isin(*[int(c["cell"].iloc[i]) for i in near]))
+    sim = vectors.cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in q]))
+    return held.withColumn("sim", sim).filter(F.col("sim") > vectors.MIN_SIMILARITY).orderBy(F.desc("sim"), "path", "line_start").limit(k).select("path", "line_start", "line_end", "symbol_name", "sim")

@@ -43,7 +43,7 @@ def test_patterns():
 
 def test_codemod(spark):
     src = spark.createDataFrame([("a.py", "python", "x = render(1)\n"), ("b.py", "python", "y = 1\n"), ("c", None, None)], "path string, language string, content string")
-    assert [tuple(r) for r in extract.codemod(src, "render($$$)", "draw_$MATCH").collect()] == [("a.py", 1, "x = draw_render(1)\n", None)]
+    assert [tuple(r) for r in extract.codemod(src, "render($$$)", "draw_$MATCH").drop("original").collect()] == [("a.py", 1, "x = draw_render(1)\n", None)]
 
 
 def test_lines_and_words(spark):
