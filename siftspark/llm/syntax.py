@@ -63,6 +63,11 @@ def _op(lang: str) -> str:
     return "|".join(re.escape(o) for o in sorted(own, key=len, reverse=True))
 
 
+@cache
+def _after(lang: str) -> re.Pattern:
+    return re.compile(r"[ \t]*(\n|" + _op(lang) + r"|[\"'`]|\w)?")
+
+
 _PAIRED = {")": "(", "]": "[", "}": "{"}
 
 
@@ -249,6 +254,8 @@ def lex(text: str, lang: str) -> list[tuple[str, int]]:
         text = "//" + text[2:] if lang not in ("python", "ruby", "php") else ("#" + text[2:] if lang != "php" else text[text.find("\n") + 1 :])
     pos, line, n, depth, prev = 0, 1, len(text), [], "BOF"
     indents, fresh = [0], True
+    conflicts = lang != "json" and _CONFLICT.search(text) is not None
+    directives = lang in ("c", "cpp", "csharp", "swift") and "#" in text
     blanks, name = re.compile(r"[ \t]+").match, re.compile(r"[A-Za-z_$][\w$]*" if lang in ("javascript", "typescript", "java") else r"[^\W\d]\w*").match
     simple, marks, plain, quotes = frozenset("()[]{};,") & frozenset(ops), frozenset(x[0][0] for x in _INTERPOLATED.get(lang, ())), lang not in ("ruby", "kotlin", "json"), frozenset("\"'#")
     if lang == "php":
@@ -260,7 +267,7 @@ def lex(text: str, lang: str) -> list[tuple[str, int]]:
         pos = first.start()
     while pos < n:
         if fresh:
-            if (m := _CONFLICT.match(text, pos)) and lang != "json":
+            if conflicts and (m := _CONFLICT.match(text, pos)):
                 out.append(("bad:conflict", line))
                 pos, fresh = m.end(), False
                 continue
@@ -281,7 +288,7 @@ def lex(text: str, lang: str) -> list[tuple[str, int]]:
                             out.append(("bad:dedent", line))
                             indents.append(width)
             fresh = False
-            if lang in ("c", "cpp", "csharp", "swift") and (m := _DIRECTIVE.match(text, pos)) and not (lang == "swift" and not re.match(r"[ \t]*#(?:if|elseif|else|endif|warning|error|sourceLocation)\b", m.group())):
+            if directives and (m := _DIRECTIVE.match(text, pos)) and not (lang == "swift" and not re.match(r"[ \t]*#(?:if|elseif|else|endif|warning|error|sourceLocation)\b", m.group())):
                 line += m.group().count("\n")
                 pos = m.end()
                 continue
@@ -374,7 +381,7 @@ def lex(text: str, lang: str) -> list[tuple[str, int]]:
             if (prev in (".", "?.", "&.", "?->") or prev == "->" and lang in ("c", "cpp", "php")) and not (lang == "rust" and word == "await") and not (lang in ("swift", "java") and word in ("self", "init", "new", "class", "this", "super")) and not (lang == "python" and word == "import"):
                 cls = "i"
             elif word in soft and cls != "i":
-                after = re.compile(r"[ \t]*(\n|" + _op(lang) + r"|[\"'`]|\w)?").match(text, pos)
+                after = _after(lang).match(text, pos)
                 a = after.group(1) or "\n"
                 nxt = _WORD.match(text, after.start(1)).group() if after.group(1) and a.isalnum() else ""
                 b = ops.get(a, "NL" if a == "\n" else "s" if a in "\"'`" else "n" if a.isdigit() else "i")
