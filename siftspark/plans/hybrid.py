@@ -113,9 +113,9 @@ def search(raw: str, lines: DataFrame, symbol_rows: DataFrame, calls: DataFrame,
         inside = F.broadcast(files.select(F.col("file").alias("path")))
         found.append(by_terms(nodes.join(inside, "path", "left_semi"), terms).drop("excerpt"))
     if chunk_vectors is not None:
-        found.append(semantic(chunk_vectors, working, query, keep, more))
+        found.append(checkpoint(semantic(chunk_vectors, F.broadcast(checkpoint(working)), query, keep, more)))  # a bounded page: texts are embedded once
         if query.intent == "conceptual":
-            found.append(fanout(checkpoint(found[-1]), calls, nodes))
+            found.append(fanout(found[-1], calls, nodes))
     hits = fusion.union(*found).withColumn("score", fusion.normalise(F.col("score"), F.col("kind"), len(terms)))
     hits = hits.withColumn("q", F.lit(0)).withColumn("intent", F.lit(query.intent))
     fused = fusion.critic(fusion.weighted_rrf(hits, ["q"]))
