@@ -149,6 +149,21 @@ def test_net_flow_matches_pairs(spark):
     assert outranking.net_flow(spark.createDataFrame([], "g long, i long, criterion string, value double, weight double"), ["g"], ["i"]).count() == 0
 
 
+def test_found_items_are_read_off_the_ranking(spark, tmp_path, monkeypatch):
+    first = {"asgrep": "abc", "def": "ade", "graph": "fgh"}  # a leads two of three, x is fourth in all
+    hits = []
+    for kind, top in first.items():
+        order = [*top, "x", *[c for c in "bcdefghijkl" if c not in top], *("a" * (kind == "graph"))]
+        hits += [(7, "find", kind, ord(c), 1, float(-k), (None, None)) for k, c in enumerate(order)]
+    shape = "query_id long, intent string, kind string, file_id long, line_start int, score double, embed_fields struct<body: double, graph: double>"
+    spark.createDataFrame(hits, shape).write.parquet(f"{tmp_path}/search_agent_hits.parquet")
+    spark.createDataFrame([("find", 0.0, 0.0)], "intent string, body double, graph double").write.parquet(f"{tmp_path}/field_weights.parquet")
+    found = lambda: rows(outranking.p4_found(spark, str(tmp_path)))
+    assert found() == [(7, ord("a"), 1)]
+    monkeypatch.setattr(outranking, "leaders_first", lambda ranked, group: ranked)  # the net flow alone decides the places
+    assert found() == [(7, ord("x"), 1)]
+
+
 # --- 5 ----------------------------------------------------------------------------------------
 
 VALID = {
