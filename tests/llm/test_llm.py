@@ -67,6 +67,30 @@ def test_enrichment(spark):
     assert distinctive.enrichment(counts.limit(0)).count() == 0
 
 
+def test_a_hot_term_is_spread_over_tasks(spark, monkeypatch):
+    n, sc = 20_000, spark.sparkContext._jsc.sc()
+    terms = F.explode(F.array(F.lit("common"), F.concat(F.lit("r"), F.col("id") % 50)))
+    counts = spark.range(n).select(F.col("id").alias("record"), terms.alias("term"), F.lit(2).alias("tf"))
+    monkeypatch.setattr(distinctive, "HOT_DF", 1000)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # as with many terms
+    before = {k: spark.conf.get(k) for k in settings}
+    jvm, none = spark._jvm, spark._jvm.java.util.ArrayList()
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    stages = lambda: each(sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none))
+    last = max([x.stageId() for x in stages()], default=-1)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = distinctive.enrichment(counts).filter("term = 'common'").agg(F.count("*"), F.countDistinct("record"), F.min("df"), F.max("df")).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tuple(got) == (n, n, n, n)
+    sc.listenerBus().waitUntilEmpty()
+    tasks = [t.taskMetrics() for x in stages() if x.stageId() > last for t in each(sc.statusStore().taskList(x.stageId(), x.attemptId(), 1000))]
+    assert 0 < max(m.get().shuffleReadMetrics().recordsRead() for m in tasks if m.isDefined()) < n
+
+
 def test_repeated_terms_of_no_score(spark, tmp_path):
     data = [(1, 1, "alpha alpha alpha alpha"), (2, 1, "alpha")]
     spark.createDataFrame(data, "file_id long, line_no int, content string").write.parquet(f"{tmp_path}/source_lines.parquet")
