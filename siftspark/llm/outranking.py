@@ -170,10 +170,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The items that lead most rankings of their query: the first of the combined ranking.
 
     They are read off the ranking: as many of its first places as the query has such items.
+    Ranks are compared in ranges of ``PER_TASK``, so a large query is not joined in one task.
     """
     ranked = checkpoint(p4_ranking(spark, folder))
+    part = lambda c: F.floor((F.col(c) - 1) / PER_TASK)
     places = ranked.filter("led * 2 > criteria").groupBy("query_id").agg(F.count("*").alias("places"))
-    return ranked.join(places, "query_id").filter("rank <= places").select("query_id", "file_id", "line_start")
+    places = places.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), part("places"))))
+    first = ranked.withColumn("part", part("rank")).join(places, ["query_id", "part"]).filter("rank <= places")
+    return first.select("query_id", "file_id", "line_start")
 
 
 QUERIES = {"p4_found": p4_found, "p4_ranking": p4_ranking}

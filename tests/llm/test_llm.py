@@ -188,6 +188,18 @@ def test_found_items_are_read_off_the_ranking(spark, tmp_path, monkeypatch):
     assert found() == [(7, ord("x"), 1)]
 
 
+def test_found_items_in_many_ranges_of_ranks(spark, tmp_path, monkeypatch):
+    ties = [(q, "find", "def", i, 1, 1.0, (None, None)) for q, n in ((1, 12), (2, 1), (3, 5)) for i in range(n)]  # all lead
+    falling = [(4, "find", "def", i, 1, float(-i), (None, None)) for i in range(12)]
+    shape = "query_id long, intent string, kind string, file_id long, line_start int, score double, embed_fields struct<body: double, graph: double>"
+    spark.createDataFrame(ties + falling, shape).write.parquet(f"{tmp_path}/search_agent_hits.parquet")
+    spark.createDataFrame([("find", 0.0, 0.0)], "intent string, body double, graph double").write.parquet(f"{tmp_path}/field_weights.parquet")
+    want = sorted([(h[0], h[3], 1) for h in ties] + [(4, i, 1) for i in range(3)])
+    for per_task in (1, 4, 5, 200_000):
+        monkeypatch.setattr(outranking, "PER_TASK", per_task)
+        assert rows(outranking.p4_found(spark, str(tmp_path))) == want
+
+
 # --- 5 ----------------------------------------------------------------------------------------
 
 VALID = {
