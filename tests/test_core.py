@@ -184,3 +184,19 @@ def test_chunks_and_modules(spark):
     judged = [({"def": 0}, {"embed": 0})] * 3
     learnt = evaluate.learn_weights({"def": 1.0, "embed": 1.0}, judged)
     assert learnt["def"] > learnt["embed"] and evaluate.pairwise_loss(learnt, judged) < evaluate.pairwise_loss({"def": 1.0, "embed": 1.0}, judged)
+
+
+def test_symbol_texts_send_no_table_to_the_driver(spark, tmp_path):
+    """Definitions spread over their lines are not broadcast, however small their table is; the texts are those of the SQL."""
+    spark.range(1, 5).selectExpr("id AS file_id", "'r' AS repo", "IF(id > 2, './b', concat('a', id)) AS path", "'py' AS language", "'h' AS content_hash", "id AS indexed_at").coalesce(1).write.parquet(f"{tmp_path}/files.parquet")
+    lines = spark.range(1, 201).selectExpr("1L AS file_id", "CAST(id AS INT) AS line_no", "IF(id % 70 = 0, NULL, concat('l', id)) AS content")
+    odd = spark.createDataFrame([(2, 1, "x" * 1600 + "y"), (2, 1, "x" * 1600 + "z"), (2, 64, "é"), (3, 5, "c"), (4, 6, "d"), (9, 1, "no file")], "file_id long, line_no int, content string")
+    lines.unionByName(lines).unionByName(odd).coalesce(1).write.parquet(f"{tmp_path}/source_lines.parquet")
+    # over blocks, twice, at a block's edge, equal starts of long lines, two files of one path, one id twice, a null line, backwards, no end, no line, no file
+    spans = [(1, 1, 60, 130), (1, 1, 60, 130), (2, 1, 63, 64), (3, 2, 1, 64), (4, 3, 1, 9), (5, 1, 1, 2), (5, 2, 64, 64), (6, 1, 70, 70), (7, 1, 9, 8), (8, 1, 9, None), (9, 1, 300, 900), (10, 8, 1, 2)]
+    spark.createDataFrame(spans, "symbol_id long, file_id long, line_start int, line_end int").coalesce(1).write.parquet(f"{tmp_path}/symbols.parquet")
+    got = catalog.symbol_texts(spark, str(tmp_path))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    long = " ".join(["x" * 1600] * 2)
+    want = [(1, " ".join(f"l{n}" for n in range(60, 131) if n != 70)), (2, "l63 l64"), (3, f"{long} é"), (4, "c d"), (5, "l1 l2 é"), (6, None)]
+    assert sorted(tuple(r) for r in got.collect()) == want
